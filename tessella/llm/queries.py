@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessella.llm import jaccard_join, quality_cascade, reshard, source_mix
 from tessella.llm.common import table
 from tessella.llm.piece_codec import encode_decode
 from tessella.llm.sst_shards import tokens_to_shards
@@ -20,6 +22,41 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
+def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled good weigh 2, all others 1."""
+    labels = table(spark, sf_dir, "labels").filter("quality = 1 and doc_id is not null")
+    return labels.select("doc_id", F.lit(2.0).alias("weight"))
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = source_mix.plan_mix(table(spark, sf_dir, "documents"), quality_weights(spark, sf_dir))
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old layout: 16 shards by source, so that their sizes differ widely; new: 24 of even bytes."""
+    docs = table(spark, sf_dir, "documents")
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(16))
+    rows = reshard.reshard(docs, old, 24)
+    return rows.select(
+        "doc_id",
+        reshard.size_of(F.col("text")).alias("size"),
+        reshard.crc_of(F.col("text")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cascade.annotate(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_VOCABULARY))
 
@@ -31,7 +68,11 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_source_mix": op2_source_mix,
+        "op3_reshard": op3_reshard,
         "op4_pieces": op4_pieces,
+        "op5_quality_rules": op5_quality_rules,
+        "op7_jaccard_join": op7_jaccard_join,
         "op8_token_shards": op8_token_shards,
     }
 
