@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import jaccard_join, quality_cascade, reshard, source_mix
+from tessella.llm import jaccard_join, line_dedup, quality_cascade, reshard, source_mix
 from tessella.llm.common import table
 from tessella.llm.piece_codec import encode_decode
 from tessella.llm.sst_shards import tokens_to_shards
@@ -65,6 +65,10 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_to_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": op5_quality_rules,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_token_shards": op8_token_shards,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 

@@ -27,16 +27,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: bytes) -> np.ndarray:
     """One 64-bit hash per word of a UTF-8 text, in order."""
+    return words_at(text)[0]
+
+
+def words_at(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and byte positions of the words."""
     global _powers
     raw = np.frombuffer(text, dtype=np.uint8)
+    none = np.empty(0, dtype=_U), np.empty(0, dtype=np.int64)
     if not len(raw):
-        return np.empty(0, dtype=_U)
+        return none
     space = _SPACE[raw]
     inside = np.concatenate(([True], space, [True]))
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
-        return np.empty(0, dtype=_U)
+        return none
     lengths = ends - starts
     longest = int(lengths.max())
     if longest > len(_powers):
@@ -44,7 +50,7 @@ def word_hashes(text: bytes) -> np.ndarray:
     kept = raw[~space].astype(_U) + _U(1)
     first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     place = np.arange(len(kept)) - np.repeat(first, lengths)
-    return _mix(np.add.reduceat(kept * _powers[place], first) + lengths.astype(_U))
+    return _mix(np.add.reduceat(kept * _powers[place], first) + lengths.astype(_U)), starts
 
 
 def shingle_set(text: bytes) -> np.ndarray:
