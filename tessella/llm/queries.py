@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import jaccard_join, line_dedup, quality_cascade, reshard, source_mix
+from tessella.llm import audio_match, jaccard_join, line_dedup, quality_cascade, reshard, source_mix, surrogates
 from tessella.llm.common import table
 from tessella.llm.piece_codec import encode_decode
 from tessella.llm.sst_shards import tokens_to_shards
@@ -65,6 +65,16 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_to_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY))
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace(docs, count="n_entities").select("doc_id", "n_entities", "text")
+
+
+def op9_audio_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio: each embedding is turned into a recording of its components as notes."""
+    return audio_match.search(audio_match.sung(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
@@ -76,8 +86,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_reshard": op3_reshard,
         "op4_pieces": op4_pieces,
         "op5_quality_rules": op5_quality_rules,
+        "op6_surrogates": op6_surrogates,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_token_shards": op8_token_shards,
+        "op9_audio_match": op9_audio_match,
         "op10_line_dedup": op10_line_dedup,
     }
 
