@@ -163,6 +163,8 @@ def annotate(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass the base rules and all others, with all their columns."""
     order = [e.rule for e in estimates(docs, BASE_RULES + RULES)]
-    text, words, found = free_name(docs, "t_"), free_name(docs, "w_"), free_name(docs, "rejected_")
-    rows = docs.withColumn(text, F.coalesce("text", F.lit(""))).withColumn(words, words_of(F.col(text)))
-    return rows.withColumn(found, verdict(F.col(text), F.col(words), order)).filter(F.col(found).isNull()).select(*docs.columns)
+    text, found = free_name(docs, "t_"), free_name(docs, "rejected_")
+    rows = docs.withColumn(text, F.coalesce("text", F.lit("")))
+    # the words are bound inside the expression: a filter on it moves below any projection
+    rejected = let(words_of(F.col(text)), lambda w: verdict(F.col(text), w, order))
+    return rows.withColumn(found, rejected).filter(F.col(found).isNull()).select(*docs.columns)
