@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import audio_match, jaccard_join, line_dedup, quality_cascade, reshard, source_mix, surrogates
+from tessella.llm import audio_match, jaccard_join, line_dedup, quality_cascade, reshard, source_mix, sql, surrogates
 from tessella.llm.common import table
 from tessella.llm.piece_codec import encode_decode
 from tessella.llm.sst_shards import tokens_to_shards
@@ -95,4 +95,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
