@@ -50,14 +50,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         source, parts, sizes = [], [[], [], [], []], []
         halves = []
-        for row, text in enumerate(b.column(2).to_pylist()):
-            line, n, h1, h2, owner, key = line_keys.lines_of(text or b"")
-            source.append(np.full(len(line), row))
+        texts = [t or b"" for t in b.column(2).to_pylist()]
+        for lo, hi in line_keys.runs(np.array([len(t) for t in texts])):
+            text, line, n, h1, h2, owner, key = line_keys.lines_of_many(texts[lo:hi])
+            source.append(text + lo)
             for store, values in zip(parts, (line, n, h1, h2)):
                 store.append(values)
-            order = np.argsort(owner, kind="stable")
-            halves.append(key[order])
-            sizes.append(np.bincount(owner, minlength=len(line)) if len(line) else np.empty(0, dtype=np.int64))
+            halves.append(key[np.argsort(owner, kind="stable")])
+            sizes.append(np.bincount(owner, minlength=len(line)))
         if not source:
             continue
         at = pa.array(np.concatenate(source))
@@ -116,10 +116,11 @@ def near_removed(docs: DataFrame, lines: DataFrame) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "line_no").alias("place")
     found = written(found.select(place, "line", "keys"), "variants")
 
-    # left_out: 0 for all words, else the place of the missing word
-    entries = found.select("place", F.posexplode("keys").alias("left_out", "key"))
-    hits = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    entries = entries.join(hits, "key")
+    # left_out: 0 for all words, else the place of the missing word; most keys have one line and go before places are looked up
+    line_id = F.xxhash64("place").alias("line_id")
+    entries = found.select(line_id, F.posexplode("keys").alias("left_out", "key"))
+    hits = entries.groupBy("key").agg(F.min("line_id").alias("m"), F.max("line_id").alias("x")).filter("m < x").select("key")
+    entries = written(entries.join(hits, "key"), "shared-variants").join(found.select(line_id, "place"), "line_id")
     firsts = entries.filter("left_out > 0").groupBy("key", "left_out").agg(F.min("place").alias("other"))
     replaced = entries.join(firsts, ["key", "left_out"]).select("place", "other")
     bases = entries.filter("left_out = 0").groupBy("key").agg(F.min("place").alias("other"))

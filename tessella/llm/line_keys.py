@@ -66,6 +66,25 @@ def lines_of(text: bytes) -> tuple[np.ndarray, ...]:
     return line[first], n, h1.view(np.int64), h2.view(np.int64), owner, key
 
 
+def runs(sizes: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
+    """Ranges of rows of about ``most`` bytes together; a longer one alone."""
+    out, start, total = [], 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and total + n > most:
+            out.append((start, i))
+            start, total = i, 0
+        total += n
+    return [*out, (start, len(sizes))] if len(sizes) else out
+
+
+def lines_of_many(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """``lines_of`` for texts at once, with the text of each line in front."""
+    line, n, h1, h2, owner, key = lines_of(b"\n".join(texts))
+    lines = np.cumsum([t.count(b"\n") + 1 for t in texts])
+    text = np.searchsorted(lines, line, side="right")
+    return text, line - np.concatenate(([0], lines))[text], n, h1, h2, owner, key
+
+
 def deletions(line: bytes) -> np.ndarray:
     """Hash of a line's words, then the hash with each word left out, as int64."""
     w, _ = words_at(line)
