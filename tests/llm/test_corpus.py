@@ -1,0 +1,312 @@
+"""Operators 2, 3, 5, 6, 7 and 10 against brute force."""
+
+import collections
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from common import by_row, no_docs, odd_docs, odd_rows, shingles, words
+from tessella.llm import jaccard_join, line_dedup, line_keys, quality_cascade, reshard, source_mix, surrogates
+from tessella.llm.components import components
+
+# -- 5
+
+
+def features(text):
+    w, lines = words(text), [x for x in (text or "").split("\n") if words(x)]
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    seen, covered = collections.Counter(grams), set()
+    for i, g in enumerate(grams):
+        if seen[g] > 1:
+            covered.update(range(i, i + 5))
+    stutters = sum(a == b for a, b in zip(w, w[1:]))
+    n, chars, symbols, dups, repeated = len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+    failed = n < 10 or 100 * repeated > 20 * n
+    other = 10 * symbols > n or chars < 2 * n or chars > 15 * n or 2 * dups > len(lines) or 10 * stutters > 3 * n
+    return n, chars, symbols, dups, repeated, failed, not failed and not other
+
+
+QUALITY = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def test_quality(spark):
+    expected = [dict(zip(QUALITY, (r[0], *features(r[1])))) for r in odd_rows()]
+    assert by_row(quality_cascade.annotate(odd_docs(spark)).collect(), *QUALITY) == by_row(expected, *QUALITY)
+    kept = quality_cascade.keep_good(odd_docs(spark))
+    assert kept.columns == odd_docs(spark).columns
+    assert by_row(kept.collect(), "doc_id", "text", "w_") == collections.Counter((r[0], r[1], r[9]) for r in odd_rows() if features(r[1])[-1])
+    assert quality_cascade.annotate(no_docs(spark)).count() == 0 and quality_cascade.keep_good(no_docs(spark)).count() == 0
+
+
+def test_cascade_order(spark):
+    docs = spark.range(300).select(F.concat(F.lit("w "), F.col("id")).alias("text"))
+    rules = (
+        quality_cascade.Rule("none", lambda t, w: F.size(w) > 99),
+        quality_cascade.Rule("most", lambda t, w: F.size(w) < 3),
+    )
+    assert [e.rule.name for e in quality_cascade.estimates(docs, rules)] == ["most", "none"]
+    assert quality_cascade.estimates(docs, rules)[0].rejected == 1.0
+
+
+# -- 2
+
+
+def level_targets(sizes, weights, cap, total):
+    """Share by weight, capped; the excess goes round until none is above."""
+    target = {s: 0.0 for s in sizes}
+    free, rest = set(sizes), float(total)
+    while free:
+        share = {s: rest * weights[s] / sum(weights[x] for x in free) for s in free}
+        over = {s for s in free if share[s] >= cap * sizes[s]}
+        if not over:
+            target.update(share)
+            break
+        for s in over:
+            target[s] = float(cap * sizes[s])
+            rest -= target[s]
+        free -= over
+    return target
+
+
+def test_mix(spark):
+    rows = odd_rows()
+    plan = source_mix.plan_mix(odd_docs(spark)).collect()
+    assert by_row(plan, "doc_id", "size") == collections.Counter((r[0], len(words(r[1]))) for r in rows)
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r[3]] += len(words(r[1]))
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    expected = level_targets(sizes, weights, 3, sum(sizes.values()))
+    taken, largest = collections.Counter(), collections.Counter()
+    for p in plan:
+        assert p.source_size == sizes[p.source] and abs(p.target - expected[p.source]) < 1e-6
+        assert p.taken <= 3 * p.size and p.taken == p.copies * p.size
+        taken[p.source] += p.taken
+        largest[p.source] = max(largest[p.source], p.size)
+    for s in sizes:
+        assert abs(taken[s] - expected[s]) <= largest[s]
+    again = source_mix.plan_mix(odd_docs(spark).repartition(5)).collect()
+    assert by_row(again, "doc_id", "size", "taken") == by_row(plan, "doc_id", "size", "taken")
+    drawn = source_mix.draw(odd_docs(spark), source_mix.plan_mix(odd_docs(spark)))
+    assert drawn.columns == odd_docs(spark).columns
+    assert sum(len(words(r.text)) for r in drawn.collect()) == sum(taken.values())
+    assert source_mix.plan_mix(no_docs(spark)).count() == 0
+
+
+def test_heavier_documents_come_first(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") < 2000, "x").otherwise("y").alias("source"))
+    good = docs.filter("doc_id % 2 = 0").select("doc_id", F.lit(2.0).alias("weight"))
+    plan = source_mix.plan_mix(docs, good, weights=(1,), share=0.5)
+    n = {r.good: r.n for r in plan.filter("copies > 0").groupBy((F.col("doc_id") % 2 == 0).alias("good")).agg(F.count("*").alias("n")).collect()}
+    assert n[True] + n[False] == 2000 and 1.3 < n[True] / n[False] < 1.8  # 0.62 against 0.38 of each half
+
+
+# -- 3
+
+
+def test_flow_is_least_and_complete():
+    sizes, n = {0: 70, 1: 5, 2: 0, 9: 45}, 5
+    capacities = reshard.even_capacities(sum(sizes.values()), n)
+    flow = reshard.min_cost_flow(sizes, capacities)
+    for i in sizes:
+        assert sum(b for (o, _), b in flow.items() if o == i) == sizes[i]
+    for j in capacities:
+        assert sum(b for (_, t), b in flow.items() if t == j) == capacities[j]
+    moved = sum(b for (o, t), b in flow.items() if o != t)
+    assert moved == sum(sizes.values()) - sum(min(sizes.get(j, 0), capacities[j]) for j in capacities)
+    with pytest.raises(ValueError):
+        reshard.min_cost_flow({0: 3}, {0: 2})
+
+
+def test_reshard(spark):
+    docs = odd_docs(spark)
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(3))
+    out = reshard.reshard(docs, old, 4)
+    assert set(docs.columns) < set(out.columns)
+    rows = out.collect()
+    assert by_row(rows, "doc_id", "text") == collections.Counter((r[0], r[1]) for r in odd_rows())
+    new, slot = out.columns[-1], out.columns[-2]
+    sizes, slots = collections.Counter(), collections.defaultdict(list)
+    for r in rows:
+        sizes[r[new]] += len((r["text"] or "").encode()) + 8
+        slots[r[new]].append(r[slot])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    total, widest = sum(sizes.values()), max(len((r[1] or "").encode()) for r in odd_rows()) + 8
+    assert all(abs(s - total / 4) <= widest for s in sizes.values())
+    assert reshard.crc_of(F.lit("a")) is not None and zlib.crc32(b"") == 0
+    assert reshard.reshard(no_docs(spark), old, 4).count() == 0
+
+
+def test_unaffected_shards_stay(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("x" * 12).alias("text"))
+    plan = reshard.plan_reshard(docs, F.col("doc_id") % 4, 4)
+    assert plan.affected == set() and plan.moved_bytes == 0
+    plan = reshard.plan_reshard(docs, F.when(F.col("doc_id") < 10, 0).otherwise(F.col("doc_id") % 3 + 1), 4)
+    assert 0 not in plan.affected
+
+
+# -- 7
+
+
+def near_classes(rows):
+    sets = [shingles(r[1]) for r in rows]
+    links, parent = collections.Counter(), list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            both = len(a & sets[j])
+            if both and 5 * both >= 4 * len(a | sets[j]):
+                links[i] += 1
+                links[j] += 1
+                parent[find(j)] = find(i)
+    return links, [find(i) for i in range(len(rows))]
+
+
+def test_near_copies(spark):
+    rows = odd_rows()
+    links, root = near_classes(rows)
+    least = collections.defaultdict(list)
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[root[i]].append(r[0])
+    expected = collections.Counter((r[0], min(least[root[i]], default=None), links[i]) for i, r in enumerate(rows))
+    assert by_row(jaccard_join.link_documents(odd_docs(spark)).collect(), "doc_id", "class_id", "n_links") == expected
+    kept = jaccard_join.keep_one(odd_docs(spark))
+    assert kept.columns == odd_docs(spark).columns
+    worded = {root[i] for i, r in enumerate(rows) if words(r[1])}
+    assert kept.count() == len(worded) + sum(not words(r[1]) for r in rows)
+    assert jaccard_join.link_documents(no_docs(spark)).count() == 0 and jaccard_join.keep_one(no_docs(spark)).count() == 0
+
+
+def test_large_cluster_in_blocks(spark):
+    """A cluster cut into many chunks gives the links that one block gives."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:i], f"new{i}", *base[i + 1 :]])) for i in range(60)] + [(100 + i, " ".join(base)) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    links, _ = near_classes(rows)
+    signed = jaccard_join.signatures(docs, 4)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    groups = signed.groupBy("set_key").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("first"), F.first("labels").alias("labels"))
+    groups = groups.withColumn("row_key", F.col("first.row_key"))
+    clusters = jaccard_join.candidate_clusters(groups)
+    assert clusters.select("root").distinct().count() == 1
+    for chunk in (8, 1000):
+        found = jaccard_join.verified(docs, groups, clusters, chunk).filter("b is null").groupBy("a").agg(F.sum("n").alias("n"))
+        got = groups.join(found, groups.set_key == found.a).select("first.doc_id", "n").collect()
+        for r in got:
+            assert r.n == (links[r.doc_id] if r.doc_id < 60 else links[60] - 4)
+
+
+def test_depth_reaches_recall():
+    assert jaccard_join.depth_for(0.9995, 16, 5, 0.8) == 4
+    assert jaccard_join.depth_for(0.9, 1, 5, 0.8) == 1
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+# -- 10
+
+
+def kept_lines(rows):
+    distinct = sorted({(r[0] is None, r[0], r[1]) for r in rows if r[1] is not None}, key=lambda k: (k[0], k[1] or 0))
+    seen, lines = [], {}
+    for none, doc_id, text in distinct:
+        stay = set()
+        for i, line in enumerate(text.split("\n")):
+            w = words(line)
+            if not w:
+                continue
+            near = any(w == o or (len(w) >= 8 and len(o) >= 8 and line_keys.one_edit(w, o)) for o in seen)
+            seen.append(w)
+            if not near:
+                stay.add(i)
+        lines[none, doc_id, text] = stay
+    return lines
+
+
+def test_lines(spark):
+    rows = [r for r in odd_rows() if r[0] != 3]  # texts of one identifier are ordered by hash, so no repeated one here
+    docs = odd_docs(spark).filter("doc_id is null or doc_id <> 3")
+    stay = kept_lines(rows)
+    expected = collections.Counter()
+    for r in rows:
+        if r[1] is None:
+            expected[r[0], 0, 0, None] += 1
+            continue
+        parts, keep = r[1].split("\n"), stay[r[0] is None, r[0], r[1]]
+        worded = [bool(words(x)) for x in parts]
+        expected[r[0], sum(worded), len(keep), "\n".join(x for i, x in enumerate(parts) if i in keep or not worded[i])] += 1
+    assert by_row(line_dedup.line_report(docs).collect(), "doc_id", "n_lines", "n_kept", "text") == expected
+    out = line_dedup.dedup(odd_docs(spark))
+    assert out.columns == odd_docs(spark).columns and out.filter("text is null").count() == 1
+    assert line_dedup.line_report(no_docs(spark)).count() == 0 and line_dedup.dedup(no_docs(spark)).count() == 0
+
+
+def test_one_edit():
+    a = "a b c d".split()
+    for b, same in (("a b c d", True), ("a x c d", True), ("a b d", True), ("a b c d e", True), ("b a c d", False), ("a b", False), ("x b c y", False)):
+        assert line_keys.one_edit(a, b.split()) is same and line_keys.one_edit(b.split(), a) is same
+
+
+def test_shuffled_survivors(spark, monkeypatch):
+    docs = odd_docs(spark).filter("doc_id is null or doc_id <> 3")
+    usual = by_row(line_dedup.line_report(docs).collect(), "doc_id", "text")
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", -1)
+    assert by_row(line_dedup.line_report(docs).collect(), "doc_id", "text") == usual
+
+
+# -- 6
+
+PEOPLE = [
+    (1, "Write to ann.lee@mail.example.com or ANN.LEE@MAIL.EXAMPLE.COM, card 4111-1111-1111-1111 or 4111111111111111."),
+    (2, "Mr. John Smith met Mrs Anna Lee; Mr John Smith left. г-жа Иванова и Κυρία Παπαδοπούλου, Frau Müller."),
+    (3, "Call +1 (555) 123-4567 from 10.0.0.7 or 192.168.1.20, not v1.2.3."),
+    (4, 'token = "0123456789abcdef0123456789abcdef01234567" ann.lee@mail.example.com'),
+    (5, None), (6, ""), (7, "Nothing here, version 2.0, 12 apples."),
+]
+
+
+def test_surrogates(spark):
+    docs = spark.createDataFrame(PEOPLE + [PEOPLE[0]], "doc_id bigint, text string").withColumn("news__", F.lit(1))
+    out = surrogates.replace(docs, count="n")
+    assert out.columns == ["doc_id", "text", "news__", "n"]
+    rows = out.collect()
+    assert len(rows) == 8
+    new = {r.doc_id: r for r in rows}
+    assert [new[i].n for i in range(1, 8)] == [4, 6, 3, 2, 0, 0, 0]
+    assert new[5].text is None and new[6].text == "" and new[7].text == PEOPLE[6][1]
+    for real in ("ann.lee", "ANN.LEE", "4111", "Smith", "Anna", "Иванова", "Παπαδ", "Müller", "123-4567", "10.0.0.7", "0123456789abcdef"):
+        assert all(real not in (r.text or "") for r in rows), real
+    mail = re.search(r"[\w.]+@[\w.]+", new[1].text)[0]
+    assert mail.upper() in new[1].text and mail in new[4].text and mail.endswith(".com")
+    cards = re.findall(r"\d{4}-\d{4}-\d{4}-\d{4}|\d{16}", new[1].text)
+    assert cards[0].replace("-", "") == cards[1] and cards[1][0] == "4"
+    digits = [int(c) for c in reversed(cards[1])]
+    assert sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+    assert re.match(r"Call \+1 \(\d{3}\) \d{3}-\d{4} from \d+\.\d+\.\d+\.\d+ or", new[3].text)
+    john = re.findall(r"Mr\.? (\w+ \w+)", new[2].text)
+    assert john[0] == john[1] and re.search(r"г-жа [А-Яа-я]+[ая]\b", new[2].text) and re.search(r"Κυρία [Α-Ωα-ω]+[αη]\b", new[2].text)
+    assert by_row(surrogates.replace(docs, count="n").collect(), "doc_id", "text") == by_row(rows, "doc_id", "text")
+    assert surrogates.replace(no_docs(spark)).count() == 0
+
+
+def test_surrogates_stay_distinct(spark, monkeypatch):
+    """With a draw of few values, collisions with each other and with real entities are drawn again."""
+    forms = spark.createDataFrame([("card", f"{i:04d}") for i in range(40)], "kind string, form string")
+    few = lambda secret, kind, form, attempt: F.format_string("%04d", F.pmod(F.xxhash64(form, attempt), F.lit(100)))
+    monkeypatch.setattr(surrogates, "surrogate", few)
+    rows = surrogates.assign_surrogates(forms, "k").collect()
+    assert len(rows) == 40 and len({r.new for r in rows}) == 40 and all(int(r.new) >= 40 for r in rows)
