@@ -1,7 +1,7 @@
 """Operator 6: surrogates for personal data, with DataFrame functions only.
 
-One pattern finds e-mail addresses, IP addresses, card and phone numbers, hex
-secrets and names after a title. An entity's canonical form (lower case, or its
+One pattern finds e-mail addresses, IP addresses, card, phone, social security
+and bank account numbers, hex secrets, access keys and names after a title. An entity's canonical form (lower case, or its
 digits alone) draws a keyed stream, from which a surrogate of the same type is
 written: letters become letters and digits digits in the same places, so format,
 script and case stay; card numbers keep their first digit and their Luhn status,
@@ -35,11 +35,15 @@ NEUTRAL = ("Dr", "Prof")
 _TITLE = "(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)) + r")\.?"
 EMAIL = r"(?<![\p{L}\p{N}_.+\-])[\p{L}\p{N}_.+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
 IP = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"
-PHONE = r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?\d{3}[ .\-]?\d{4}(?!\w)|\d{2,4}(?:[ .\-]?\d{2,4}){2,3}(?!\.?\w))"
+PHONE = r"(?<![\w\-+(])(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?!\w)|(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?\d{3}[ .\-]?\d{4}(?!\w)|\d{2,4}(?:[ .\-]?\d{2,4}){2,3}(?!\.?\w))"
 CARD = r"(?<![\w.\-])\d{4}(?:[ \-]?\d{4}){3}(?!\w)"
 SECRET = r"(?<!\w)(?:[0-9a-f]{40}|[0-9A-F]{40}|[0-9a-f]{64}|[0-9A-F]{64})(?!\w)"
+KEY = r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)"
+IP6 = r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])"
+SOCIAL = r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
+IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 NAME = rf"(?<![\p{{L}}\p{{N}}]){_TITLE} \p{{Lu}}[\p{{L}}'\-]+(?: \p{{Lu}}[\p{{L}}'\-]+)?"
-PATTERN = "|".join((EMAIL, SECRET, IP, PHONE, CARD, NAME))
+PATTERN = "|".join((EMAIL, SECRET, KEY, IP6, IP, SOCIAL, PHONE, CARD, IBAN, NAME))
 
 _LATIN, _CYRILLIC, _GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 _HEX = "0123456789abcdef"
@@ -54,7 +58,11 @@ _SOUNDS = {
 def type_of(entity: Column) -> Column:
     return (
         F.when(entity.contains("@"), "email")
-        .when(entity.startswith("+"), "phone")
+        .when(entity.rlike(r"^\d{3}-\d{2}-\d{4}$"), "social")
+        .when(entity.rlike(r"^[+(]|^\d{3}-\d{3}-"), "phone")
+        .when(entity.rlike("^AKIA[0-9A-Z]{16}$"), "key")
+        .when(entity.contains(":") & entity.rlike("^[0-9a-fA-F:]+$"), "ip6")
+        .when(entity.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]+$"), "iban")
         .when(entity.rlike(r"^[0-9a-fA-F]{40,64}$"), "secret")
         .when(entity.rlike(r"^[\d.]+$") & entity.contains("."), "ip")
         .when(entity.rlike(r"^[\d \-]+$"), "card")
@@ -78,7 +86,8 @@ def _bare_name(entity: Column) -> Column:
 def canonical(kind: Column, entity: Column) -> Column:
     """What mentions of one entity have in common."""
     return (
-        F.when(kind.isin("card", "phone"), F.regexp_replace(entity, r"\D", ""))
+        F.when(kind.isin("card", "phone", "social"), F.regexp_replace(entity, r"\D", ""))
+        .when(kind == "iban", F.lower(F.regexp_replace(entity, " ", "")))
         .when(kind == "name", F.concat(_gender(entity), F.lit(":"), F.lower(_bare_name(entity))))
         .otherwise(F.lower(entity))
     )
@@ -113,7 +122,7 @@ def _shaped(form: Column, stream: Column, start: Column, end: Column, hexadecima
             .when(c.rlike(r"^\p{L}$"), _pick(_LATIN, v))
             .otherwise(c)
         )
-        return F.when((i < start) | (i >= end), c).otherwise(_pick(_HEX, v) if hexadecimal else new)
+        return F.when((i < start) | (i >= end), c).otherwise(F.when(c.rlike("^[0-9a-f]$"), _pick(_HEX, v)).otherwise(c) if hexadecimal else new)
 
     return F.array_join(F.transform(_characters(form), one), "")
 
@@ -169,7 +178,10 @@ def surrogate(secret: str, kind: Column, form: Column, attempt: Column) -> Colum
     top = n - F.char_length(F.substring_index(form, ".", -1)) - 1  # the top-level domain stays
     return (
         F.when(kind == "email", _shaped(form, s, F.lit(0), top))
-        .when(kind == "secret", _shaped(form, s, F.lit(0), n, hexadecimal=True))
+        .when(kind.isin("secret", "ip6"), _shaped(form, s, F.lit(0), n, hexadecimal=True))
+        .when(kind == "key", _shaped(form, s, F.lit(4), n))
+        .when(kind == "iban", _shaped(form, s, F.lit(2), n))
+        .when(kind == "social", _shaped(form, s, F.lit(0), n))
         .when(kind == "ip", _octets(form, s))
         .when(kind == "card", _card(form, s))
         .when(kind == "phone", _shaped(form, s, F.greatest(n - 10, F.lit(1)), n))
@@ -179,22 +191,21 @@ def surrogate(secret: str, kind: Column, form: Column, attempt: Column) -> Colum
 
 def rendered(kind: Column, entity: Column, new: Column) -> Column:
     """The surrogate in the layout and case of one mention."""
-    digits = F.array_join(
-        F.transform(
-            _characters(entity),
-            lambda c, i: F.when(
-                c.rlike(r"^\d$"), F.substring(new, F.char_length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), r"\D", "")), F.lit(1))
-            ).otherwise(c),
-        ),
-        "",
-    )
+
+
+    def laid(fill: str, skip: str) -> Column:
+        """Characters of ``fill`` replaced in turn; ``skip`` is everything that the canonical form leaves out."""
+        place = lambda i: F.char_length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), skip, ""))
+        return F.array_join(F.transform(_characters(entity), lambda c, i: F.when(c.rlike(fill), F.substring(new, place(i), F.lit(1))).otherwise(c)), "")
+
     cased = F.array_join(
         F.transform(_characters(new), lambda c, i: F.when(F.substring(entity, i + 1, F.lit(1)).rlike(r"^\p{Lu}$"), F.upper(c)).otherwise(c)), ""
     )
     name, bare = F.substring(new, 3, 1_000), _bare_name(entity)
     name = F.when(bare == F.upper(bare), F.upper(name)).otherwise(F.initcap(name))
     return (
-        F.when(kind.isin("card", "phone"), digits)
+        F.when(kind.isin("card", "phone", "social"), laid(r"^\d$", r"\D"))
+        .when(kind == "iban", F.upper(laid("^[A-Z0-9]$", " ")))
         .when(kind == "name", F.concat(_title(entity), F.lit(" "), name))
         .when(kind == "ip", new)
         .otherwise(cased)
