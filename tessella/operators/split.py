@@ -20,7 +20,7 @@ def shuffle_key(seed: object, wid: Column) -> Column:
 
 
 def ranked(windows: DataFrame, key: Column) -> DataFrame:
-    """Adds ``rank`` from 1 in the order of key, wid.
+    """Adds ``rank`` from 1 in the order of key, wid, and the ``total`` number of rows.
 
     Windows are few against pixels, yet a global rank would pass them all through one
     task. Ranks are taken within 256 ranges of the key's first byte, and offset by the
@@ -29,7 +29,8 @@ def ranked(windows: DataFrame, key: Column) -> DataFrame:
     rows = windows.withColumn("key", key).withColumn("range", F.substring("key", 1, 2))
     sizes = rows.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
     offset = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("range", F.coalesce(offset, F.lit(0)).alias("offset"))
+    total = F.sum("n").over(Window.partitionBy())
+    offsets = sizes.select("range", F.coalesce(offset, F.lit(0)).alias("offset"), total.alias("total"))
     inside = Window.partitionBy("range").orderBy("key", "wid")
     rows = rows.withColumn("rank", F.row_number().over(inside)).join(F.broadcast(offsets), "range")  # 256 rows at most
     return rows.withColumn("rank", F.col("rank") + F.col("offset")).drop("range", "offset", "key")
@@ -37,12 +38,11 @@ def ranked(windows: DataFrame, key: Column) -> DataFrame:
 
 def split(windows: DataFrame, how: Split) -> DataFrame:
     """Adds ``rank`` and ``split``; test first, then validation, then training."""
-    n = windows.count()
-    n_test = 0 if how.mode == "separate" else int(how.test * n)
-    n_val = int(how.validation * (n - n_test))
-    rank = F.col("rank")
+    rank, n = F.col("rank"), F.col("total")
+    n_test = F.lit(0) if how.mode == "separate" else F.floor(F.lit(how.test) * n)
+    n_val = F.floor(F.lit(how.validation) * (n - n_test))
     name = F.when(rank <= n_test, "test").when(rank <= n_test + n_val, "val").otherwise("train")
-    return ranked(windows, shuffle_key(how.seed, F.col("wid"))).withColumn("split", name)
+    return ranked(windows, shuffle_key(how.seed, F.col("wid"))).withColumn("split", name).drop("total")
 
 
 def counts(windows: DataFrame) -> DataFrame:
@@ -59,5 +59,5 @@ def test_label(label: DataFrame, test_windows: DataFrame, grid: Grid, w: Windows
 
 def shuffled_batches(windows: DataFrame, seed: int, epoch: int, batch_size: int) -> DataFrame:
     """Adds ``rank`` and ``batch`` in an order of its own for each epoch; the last batch may be short."""
-    out = ranked(windows, shuffle_key(f"{seed}:{epoch}", F.col("wid")))
+    out = ranked(windows, shuffle_key(f"{seed}:{epoch}", F.col("wid"))).drop("total")
     return out.withColumn("batch", F.floor((F.col("rank") - 1) / batch_size))
