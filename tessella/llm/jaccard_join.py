@@ -2,10 +2,12 @@
 
 Rows with equal shingle sets form one group and are compared once. Each group's
 MinHash values make one label per tree; sorted labels are the tree's prefix trie.
-Prefixes start at full depth and are shortened until the expected recall of a
-pair at the threshold, 1 - (1 - s^depth)^trees, reaches the target. Groups that
-share a prefix in a tree become candidates: each bucket links its members to its
-least one, and the components of these links are the candidate clusters.
+Prefixes start at full depth and are shortened in two ways: before the join, until
+the expected recall of a pair just at the threshold, 1 - (1 - s^depth)^trees,
+reaches the target; after it, as long as fewer of the links found (which clusters
+also give for pairs that share no prefix) share a prefix than the target asks.
+Groups that share a prefix in a tree become candidates: each bucket links its
+members to its least one, and the components of these links are the clusters.
 
 A cluster is verified exactly, by shingle intersection, in blocks of two chunks
 of about ``chunk`` groups: no task holds more than one block, whatever the
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,6 +41,8 @@ from tessella.llm.source_mix import row_key
 THRESHOLD = (4, 5)
 TREES, MAX_DEPTH = 16, 5
 RECALL = 0.9995
+#: What the links found have to show of it.
+MEASURED = 0.995
 CHUNK = 256
 
 
@@ -75,12 +79,18 @@ def signatures(docs: DataFrame, depth: int, trees: int = TREES) -> DataFrame:
     return rows.mapInArrow(_sign(trees, depth), "doc_id bigint, row_key string, set_key string, n_shingles bigint, labels array<bigint>")
 
 
-def candidate_clusters(groups: DataFrame) -> DataFrame:
+def _prefix(label: Column, shorter: int) -> Column:
+    """A label without its last ``shorter`` values."""
+    return F.shiftright(label, sh.VALUE_BITS * shorter)
+
+
+def candidate_clusters(groups: DataFrame, shorter: int = 0) -> DataFrame:
     """(node, root) over 64-bit hashes of set keys: groups joined by shared prefixes.
 
     Two keys with equal hashes would only share a cluster, and be verified apart.
     """
     entries = groups.select(F.xxhash64("set_key").alias("node"), F.posexplode("labels").alias("tree", "label"))
+    entries = entries.withColumn("label", _prefix(F.col("label"), shorter))
     buckets = entries.groupBy("tree", "label").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
     edges = entries.join(buckets.drop("last"), ["tree", "label"]).filter("node <> first")
     return components(edges.select(F.col("node").alias("a"), F.col("first").alias("b")))
@@ -167,6 +177,15 @@ def verified(docs: DataFrame, groups: DataFrame, clusters: DataFrame, chunk: int
     return written(dealt.mapInArrow(_verify, "a string, b string, n bigint"), "links")
 
 
+def direct_recall(links: DataFrame, groups: DataFrame, shorter: int) -> float:
+    """Share of the verified links whose two ends share a prefix in some tree; 1 without links."""
+    edges = links.filter("b is not null").select("a", "b")
+    side = lambda k: groups.select(F.col("set_key").alias(k), F.col("labels").alias(f"{k}_labels"))
+    met = F.exists(F.zip_with("a_labels", "b_labels", lambda x, y: _prefix(x, shorter) == _prefix(y, shorter)), lambda hit: hit)
+    share = edges.join(side("a"), "a").join(side("b"), "b").agg(F.avg(met.cast("double"))).first()[0]
+    return 1.0 if share is None else share
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per document (doc_id, row_key, set_key); per set key (set_key, class_key, class_id, n_links, first)."""
     depth = depth_for()
@@ -178,7 +197,10 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "groups",
     )
     groups = groups.withColumn("row_key", F.col("first.row_key"))
-    links = verified(docs, groups, written(candidate_clusters(groups), "clusters"))
+    for shorter in range(depth):
+        links = verified(docs, groups, written(candidate_clusters(groups, shorter), "clusters"))
+        if direct_recall(links, groups, shorter) >= MEASURED:
+            break
     found = components(links.filter("b is not null").select("a", "b")).select(F.col("node").alias("set_key"), F.col("root").alias("class_key"))
     counts = links.filter("b is null").groupBy(F.col("a").alias("set_key")).agg(F.sum("n").alias("linked"))
     linked = groups.join(found, "set_key").join(counts, "set_key").select("set_key", "class_key", "linked", "first")

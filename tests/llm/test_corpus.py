@@ -205,6 +205,17 @@ def test_large_cluster_in_blocks(spark):
             assert r.n == (links[r.doc_id] if r.doc_id < 60 else links[60] - 4)
 
 
+def test_prefixes_shorten_until_links_show_the_recall(spark, monkeypatch):
+    rows = odd_rows()
+    depths = []
+    usual = jaccard_join.candidate_clusters
+    monkeypatch.setattr(jaccard_join, "candidate_clusters", lambda groups, shorter=0: depths.append(shorter) or usual(groups, shorter))
+    monkeypatch.setattr(jaccard_join, "direct_recall", lambda links, groups, shorter: (0.2, 0.9, 1.0)[shorter])
+    links, _ = near_classes(rows)
+    got = by_row(jaccard_join.link_documents(odd_docs(spark)).collect(), "doc_id", "n_links")
+    assert got == collections.Counter((r[0], links[i]) for i, r in enumerate(rows)) and depths == [0, 1, 2]
+
+
 def test_depth_reaches_recall():
     assert jaccard_join.depth_for(0.9995, 16, 5, 0.8) == 4
     assert jaccard_join.depth_for(0.9, 1, 5, 0.8) == 1
