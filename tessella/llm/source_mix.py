@@ -105,7 +105,9 @@ def plan_mix(
 
     filled = ranked.groupBy("group").agg((F.first("rest") - F.coalesce(F.max(F.when(F.col("fits"), F.col("reach"))), F.lit(0))).alias("open"))
     nearest = F.min(F.struct(F.abs(F.col("size") - F.col("open")).alias("gap"), "bucket", "nth"))
-    last = ranked.filter(~F.col("fits") & (F.col("size") > 0)).join(filled, "group").groupBy("group", "open").agg(nearest.alias("last"))
+    # by bucket, so that a large source's rows meet its open rest in many tasks
+    opened = per_bucket.select("group", "bucket").join(filled, "group")
+    last = ranked.filter(~F.col("fits") & (F.col("size") > 0)).join(opened, ["group", "bucket"]).groupBy("group", "open").agg(nearest.alias("last"))
     last = last.filter("last.gap < open").select("group", "last.bucket", "last.nth", F.lit(True).alias("more"))
     ranked = ranked.join(last, ["group", "bucket", "nth"], "left")
     ranked = ranked.withColumn("copies", (F.col("epochs") + (F.col("fits") | F.coalesce("more", F.lit(False))).cast("int")).cast("bigint"))
