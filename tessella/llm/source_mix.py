@@ -3,9 +3,10 @@
 Each document draws a reproducible uniform u from a hash of its identifier and
 gets the key -ln(u) / quality weight; small keys come first. A source's target is
 filled by complete epochs of all its documents, then by the documents in key
-order while their running size stays within the rest, and last by one document
-more: the one whose size is nearest to what is still open, if it brings the
-source nearer to its target.
+order while their running size stays within the rest. Where more than SLACK of a
+target is still open (few, long documents), up to ROUNDS further passes take those
+that fit, in key order. Last, each source takes the one document more whose size is
+nearest to what is open, if that brings it nearer to its target.
 
 The running sizes are taken in two levels, so that a source with a third of all
 rows spreads: a monotone function of the key deals its documents to buckets of
@@ -26,6 +27,7 @@ from pyspark.sql.window import Window
 from tessella.llm.common import WORD, free_name, written
 
 BUCKET_ROWS = 2_048
+SLACK, ROUNDS = 0.001, 3
 SEED = "mix"
 
 
@@ -103,17 +105,43 @@ def plan_mix(
     ranked = ranked.withColumn("reach", F.col("offset") + F.col("running")).drop("offset", "running")
     ranked = written(ranked.withColumn("fits", (F.col("rest") > 0) & (F.col("reach") <= F.col("rest"))), "mix-ranks")
 
-    filled = ranked.groupBy("group").agg((F.first("rest") - F.coalesce(F.max(F.when(F.col("fits"), F.col("reach"))), F.lit(0))).alias("open"))
+    reached = F.coalesce(F.max(F.when(F.col("fits"), F.col("reach"))), F.lit(0))
+    filled = ranked.groupBy("group").agg(F.first("target").alias("goal"), (F.first("rest") - reached).alias("open"))
+    pool = ranked.filter(~F.col("fits") & (F.col("size") > 0)).select("group", "bucket", "nth", "size")
+    more = None
+    for _ in range(ROUNDS):
+        found = _fitting(pool, filled.filter(F.col("open") > SLACK * F.col("goal")), per_bucket)
+        if found.isEmpty():
+            break
+        used = found.groupBy("group").agg(F.sum("size").alias("used"))
+        filled = written(filled.join(used, "group", "left").select("group", "goal", (F.col("open") - F.coalesce("used", F.lit(0))).alias("open")), "mix-open")
+        pool = pool.join(found, ["group", "bucket", "nth"], "left_anti")
+        more = found if more is None else more.unionByName(found)
     nearest = F.min(F.struct(F.abs(F.col("size") - F.col("open")).alias("gap"), "bucket", "nth"))
-    # by bucket, so that a large source's rows meet its open rest in many tasks
-    opened = per_bucket.select("group", "bucket").join(filled, "group")
-    last = ranked.filter(~F.col("fits") & (F.col("size") > 0)).join(opened, ["group", "bucket"]).groupBy("group", "open").agg(nearest.alias("last"))
-    last = last.filter("last.gap < open").select("group", "last.bucket", "last.nth", F.lit(True).alias("more"))
-    ranked = ranked.join(last, ["group", "bucket", "nth"], "left")
+    last = pool.join(_by_bucket(filled, per_bucket), ["group", "bucket"]).groupBy("group", "open").agg(nearest.alias("last"))
+    last = last.filter("last.gap < open").select("group", "last.bucket", "last.nth")
+    extra = last if more is None else last.unionByName(more.select("group", "bucket", "nth"))
+    ranked = ranked.join(extra.withColumn("more", F.lit(True)), ["group", "bucket", "nth"], "left")
     ranked = ranked.withColumn("copies", (F.col("epochs") + (F.col("fits") | F.coalesce("more", F.lit(False))).cast("int")).cast("bigint"))
     return ranked.select("row_key", "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _by_bucket(per_group: DataFrame, per_bucket: DataFrame) -> DataFrame:
+    """A source's values per bucket, so that a large source's rows meet them in many tasks."""
+    return per_bucket.select("group", "bucket").join(per_group, "group")
+
+
+def _fitting(pool: DataFrame, opened: DataFrame, per_bucket: DataFrame) -> DataFrame:
+    """Documents no larger than their source's open rest, in key order while their running size stays within it."""
+    fit = pool.join(_by_bucket(opened, per_bucket), ["group", "bucket"]).filter(F.col("size") <= F.col("open"))
+    sums = fit.groupBy("group", "bucket").agg(F.sum("size").alias("sum"))
+    before = Window.partitionBy("group").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("group", "bucket", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("group", "bucket").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fit = fit.withColumn("running", F.sum("size").over(inside)).join(sums, ["group", "bucket"])
+    return written(fit.filter(F.col("offset") + F.col("running") <= F.col("open")).select("group", "bucket", "nth", "size"), "mix-fill")
+
+
 def draw(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """The rows of docs as often as the plan takes them, with all their columns."""
     key, nth, copies = free_name(docs, "row_key"), free_name(docs, "nth"), free_name(docs, "copies")

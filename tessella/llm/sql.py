@@ -31,6 +31,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v
 """
 
+def _round(k: int) -> str:
+    """Documents that fit what is open, in key order; then what is open after them."""
+    return f"""a{k} AS (SELECT *, NOT taken AND size > 0 AND size <= open AND open > 0.001::DOUBLE * target AS cand FROM t{k - 1}),
+b{k} AS (SELECT *, CASE WHEN cand THEN sum(CASE WHEN cand THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rn ROWS UNBOUNDED PRECEDING) END AS run FROM a{k}),
+t{k} AS (SELECT * EXCLUDE (taken, open, cand, run), taken OR coalesce(cand AND run <= open, false) AS taken,
+  open - coalesce(max(CASE WHEN cand AND run <= open THEN run END) OVER (PARTITION BY source), 0) AS open FROM b{k}),"""
+
+
+_ROUNDS = "\n".join(_round(k) for k in (1, 2, 3))
+
 MIX = f"""
 WITH q AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
 d AS (SELECT d.doc_id, d.source, CAST(len({words("coalesce(text, '')")}) AS BIGINT) AS size, CASE WHEN q.doc_id IS NULL THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w
@@ -46,10 +56,11 @@ r AS (SELECT k.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.sou
   sum(size) OVER o AS reach, row_number() OVER o AS rn
   FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source WINDOW o AS (PARTITION BY k.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING)),
 f AS (SELECT *, rest > 0 AND reach <= rest AS fits FROM r),
-g AS (SELECT *, rest - coalesce(max(CASE WHEN fits THEN reach END) OVER (PARTITION BY source), 0) AS open FROM f),
-c AS (SELECT *, CASE WHEN NOT fits AND size > 0 THEN row_number() OVER (PARTITION BY source, fits OR size = 0 ORDER BY abs(size - open), rn) END AS near FROM g)
+t0 AS (SELECT *, fits AS taken, rest - coalesce(max(CASE WHEN fits THEN reach END) OVER (PARTITION BY source), 0) AS open FROM f),
+{_ROUNDS}
+c AS (SELECT *, CASE WHEN NOT taken AND size > 0 THEN row_number() OVER (PARTITION BY source, taken OR size = 0 ORDER BY abs(size - open), rn) END AS near FROM t3)
 SELECT doc_id, size, source_size, target,
-  CAST((epochs + CASE WHEN fits OR (near = 1 AND abs(size - open) < open) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM c
+  CAST((epochs + CASE WHEN taken OR (near = 1 AND abs(size - open) < open) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM c
 """
 
 JACCARD = f"""
