@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.scalar import softmax
-from tessella.params import Experiment, Training
+from tessella.params import IGNORE, Experiment, Training
 
 
 def logits(bands: list[str], weights: dict[int, list[float]], bias: dict[int, float]) -> Column:
@@ -57,16 +57,16 @@ LIDAR = ["l0", "l1"]
 def setting(e: Experiment, optical: list[str] = OPTICAL, lidar: list[str] = LIDAR) -> Setting:
     """The registry: optical bands alone, or with the LiDAR bands that the experiment takes."""
     chosen = lidar if e.lidar_bands is None else [lidar[i] for i in e.lidar_bands]
-    features = {"optical": optical, "early": optical + chosen, "late": optical + chosen}
+    features = {"optical": optical, "early": optical + chosen}  # late fusion has a model per source: fit_late
     if e.fusion not in features:
-        raise ValueError(f"no fusion called {e.fusion}")
+        raise ValueError(f"no single model has the fusion {e.fusion}")
     return Setting(features[e.fusion], lambda: LogisticRegression(weightCol="weight", labelCol="y", maxIter=25, regParam=1e-4))
 
 
 def fit(pixels: DataFrame, features: list[str], training: Training = Training(), estimator: Estimator | None = None) -> PipelineModel:
-    """A class-weighted classifier of pixels with label y; ignored labels have to be left out before."""
+    """A class-weighted classifier of pixels with label y, the ignored one left out."""
     weights = F.create_map(*[F.lit(x) for k, w in training.class_weights.items() for x in (k, w)])
-    rows = pixels.withColumn("weight", F.element_at(weights, F.col("y").cast("int")))
+    rows = pixels.filter(F.col("y") != IGNORE).withColumn("weight", F.element_at(weights, F.col("y").cast("int")))
     learner = estimator or LogisticRegression(weightCol="weight", labelCol="y", maxIter=25, regParam=1e-4)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), learner]).fit(rows)
 
@@ -77,6 +77,28 @@ def score(model: PipelineModel, pixels: DataFrame, prefix: str = "p", classes: i
     return out.withColumns({f"{prefix}{i}": F.get("scores__", F.lit(i)) for i in range(classes)}).drop(*drop)
 
 
+@dataclass(frozen=True)
+class LateFusion:
+    """A model per source, and one over their scores."""
+
+    optical: PipelineModel
+    lidar: PipelineModel
+    stacker: PipelineModel
+
+    def towers(self, pixels: DataFrame) -> DataFrame:
+        return score(self.lidar, score(self.optical, pixels, "o"), "l_")
+
+    def score(self, pixels: DataFrame) -> DataFrame:
+        return score(self.stacker, self.towers(pixels)).drop("o0", "o1", "l_0", "l_1")
+
+
+def fit_late(pixels: DataFrame, optical: list[str], lidar: list[str], training: Training = Training()) -> LateFusion:
+    """Trains each source by itself, then the stacker on both sources' scores."""
+    a, b = fit(pixels, optical, training), fit(pixels, lidar, training)
+    scored = score(b, score(a, pixels, "o"), "l_")
+    return LateFusion(a, b, fit(scored, ["o0", "o1", "l_0", "l_1"], training))
+
+
 def score_batches(pixels: DataFrame, bands: list[str], scorer: Callable[[np.ndarray], np.ndarray], keys: list[str], classes: int = 2) -> DataFrame:
     """Scores by a function over arrays (rows, bands) -> (rows, classes), batch by batch."""
     fields = [f"{k} {pixels.schema[k].dataType.simpleString()}" for k in keys] + [f"p{i} double" for i in range(classes)]

@@ -292,3 +292,5 @@ def test_weighted_model_and_registry(spark, tmp_path):
     assert scored.filter("cls = y").count() > 380
     with pytest.raises(ValueError):
         model.setting(Experiment("x", "middle"))
+    late = mosaic.classify(model.fit_late(px.withColumn("y", F.when(F.col("idx") < 9, 255).otherwise(F.col("y"))), ["b0"], ["l0"]).score(px), ["p0", "p1"])
+    assert late.filter("cls = y").count() > 360
