@@ -25,10 +25,11 @@ def col_of(idx: Column, width: int) -> Column:
     return F.pmod(idx, F.lit(width)).cast("bigint")
 
 
-def _covering(at: Column, w: Windows) -> tuple[Column, Column]:
-    """First and last window of an axis that cover a place (unbounded above)."""
+def covering(at: Column, w: Windows, length: int) -> Column:
+    """The windows of an axis that cover a place, as an array; null where none does."""
     first = F.greatest(F.lit(0).cast("bigint"), F.ceil((at - (w.size - 1)) / float(w.step)))
-    return first, F.floor(at / float(w.step))
+    last = F.least(F.floor(at / float(w.step)), F.lit(w.count(length) - 1).cast("bigint"))
+    return F.when(last >= first, F.sequence(first, last))
 
 
 def explode_windows(pixels: DataFrame, grid: Grid, w: Windows, pad: int = 0) -> DataFrame:
@@ -37,13 +38,9 @@ def explode_windows(pixels: DataFrame, grid: Grid, w: Windows, pad: int = 0) ->
     With ``pad``, windows lie over the raster padded on all sides, and padded pixels
     themselves are never made: every pixel of the raster is still covered.
     """
-    rows, cols = w.count(grid.height + 2 * pad), w.count(grid.width + 2 * pad)
-    out = pixels
-    for name, place, n in (("wr", F.col("row") + pad, rows), ("wc", F.col("col") + pad, cols)):
-        first, last = _covering(place, w)
-        last = F.least(last, F.lit(n - 1).cast("bigint"))
-        out = out.withColumn(name, F.explode(F.when(last >= first, F.sequence(first, last))))
-    return out.withColumn("wid", F.col("wr") * cols + F.col("wc"))
+    out = pixels.withColumn("wr", F.explode(covering(F.col("row") + pad, w, grid.height + 2 * pad)))
+    out = out.withColumn("wc", F.explode(covering(F.col("col") + pad, w, grid.width + 2 * pad)))
+    return out.withColumn("wid", F.col("wr") * w.count(grid.width + 2 * pad) + F.col("wc"))
 
 
 def window_table(spark: SparkSession, grid: Grid, w: Windows) -> DataFrame:

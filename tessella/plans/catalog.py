@@ -306,17 +306,17 @@ def _votes(spark, sf) -> DataFrame:
 
 @query
 def mosaic_prob(spark, sf):
-    return _rounded(mosaic.average(_votes(spark, sf), ["p0", "p1"]), ["p0", "p1"])
+    return _rounded(mosaic.average(_votes(spark, sf), ["p0", "p1"], OVERLAPS), ["p0", "p1"])
 
 
 @query
 def mosaic_truncate(spark, sf):
-    return _rounded(mosaic.average(_votes(spark, sf), ["p0", "p1"], "truncate"), ["p0", "p1"])
+    return _rounded(mosaic.average(_votes(spark, sf), ["p0", "p1"], OVERLAPS, "truncate"), ["p0", "p1"])
 
 
 @query
 def mosaic_argmax(spark, sf):
-    scores = _rounded(mosaic.average(_votes(spark, sf), ["p0", "p1"]), ["p0", "p1"])
+    scores = _rounded(mosaic.average(_votes(spark, sf), ["p0", "p1"], OVERLAPS), ["p0", "p1"])
     return mosaic.classify(scores, ["p0", "p1"]).select("idx", "cls")
 
 
@@ -367,7 +367,7 @@ def segmentation_report(spark, sf):
     g = fx.grid(spark, sf)
     px = fx.labelled(spark, sf, _scored(spark, sf).select("idx", "row", "col", "p0", "p1"), g)
     votes = mosaic.window_votes(px, g, 16, OVERLAPS, {"p0": F.col("p0"), "p1": F.col("p1")})
-    scores = _rounded(mosaic.average(votes, ["p0", "p1"]), ["p0", "p1"])
+    scores = _rounded(mosaic.average(votes, ["p0", "p1"], OVERLAPS), ["p0", "p1"])
     pred = mosaic.classify(scores, ["p0", "p1"]).select("idx", F.col("cls").alias("pred"))
     out = metrics.report(pred.join(px.select("idx", "y"), "idx"))
     return _rounded(out, ["precision", "recall", "f1", "accuracy"])

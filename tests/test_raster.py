@@ -153,7 +153,7 @@ def test_mosaic_is_a_mean_of_means(spark):
     a = np.zeros((h, w))
     g = Grid(h, w)
     score = (F.col("wr") * 5 + F.col("wc") * 3) % 4 / 4
-    got = mosaic.average(mosaic.window_votes(pixels(spark, a), g, size, (0.0, 0.25, 0.5), {"p1": score}), ["p1"]).collect()
+    got = mosaic.average(mosaic.window_votes(pixels(spark, a), g, size, (0.0, 0.25, 0.5), {"p1": score}), ["p1"], (0.0, 0.25, 0.5)).collect()
     total = np.zeros((h, w))
     for overlap in (0.0, 0.25, 0.5):
         s = int(size * (1 - overlap))
