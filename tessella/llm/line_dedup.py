@@ -127,7 +127,9 @@ def near_removed(docs: DataFrame, lines: DataFrame) -> DataFrame:
     inserted = entries.filter("left_out > 0").join(bases, "key").select("place", "other")
     links = replaced.unionByName(inserted).filter("place <> other")
     links = links.select(F.greatest("place", "other").alias("later"), F.least("place", "other").alias("earlier")).distinct()
-    text_of = lambda name: found.dropDuplicates(["place"]).select(F.col("place").alias(name), F.col("line").alias(f"{name}_line"))
+    # written, so that the join of a line that many are near to is a plain one, which Spark splits
+    lines_once = written(found.select("place", "line").dropDuplicates(["place"]), "variant-lines")
+    text_of = lambda name: lines_once.select(F.col("place").alias(name), F.col("line").alias(f"{name}_line"))
     links = links.join(text_of("later"), "later").join(text_of("earlier"), "earlier")
     return links.filter(_within_one("later_line", "earlier_line")).select("later.*").distinct()
 
