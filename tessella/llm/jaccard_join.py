@@ -213,7 +213,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce("head", "first").alias("head"),
         (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    return signed.select("doc_id", "row_key", "set_key"), per_set
+    # written, so that the join with the copies of one set is a plain one, which Spark splits
+    return signed.select("doc_id", "row_key", "set_key"), written(per_set, "sets")
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
