@@ -1,17 +1,19 @@
 """Operator 9: chroma audio fingerprints of a media column, and their alignment.
 
 Recordings are rows of (id, audio): PCM samples, 16 bits, little-endian, one
-channel. Each becomes packed integers (see ``chroma``). A query set is aligned
-with all recordings block by block: recordings are dealt to blocks of about
-``block_rows`` by a hash of their id, every query visits every block, and a block
-returns one row per query (matches found and the best of them). Equal integers
-give offset histograms; an offset with enough hits is judged by its bit error
-rate over the overlap. Neither pairs nor histograms leave a block.
-
-Defined results: null or too short audio has an empty fingerprint and matches
-nothing; a query also meets itself if it is among the recordings, which is not
-counted; null ids are never queries, and as recordings can be matched; repeated
-rows count each; extra columns are ignored; empty tables give no rows.
+channel. Each becomes packed integers (see ``chroma``). Recordings with equal
+fingerprints are a class, and classes are aligned: they are dealt to blocks of
+about ``block_rows`` by a hash, every asked class visits every block, and a block
+returns one row per matched class. Equal integers give offset histograms; an offset
+with enough hits is judged by its bit error rate over the overlap. Copies never
+expand to pairs.
+
+Defined results: null or too short audio has an empty fingerprint, no class, and
+matches nothing; recordings of fewer than MIN_OVERLAP positions match only those
+with an equal fingerprint; rows equal in id and fingerprint are one recording,
+which doesn't match itself, and for other queries they count each; one id with
+several fingerprints has several rows; null ids are never queries, and as
+recordings can be matched; extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import chroma
@@ -77,53 +79,82 @@ def fingerprints(recordings: DataFrame, rate: int = RATE) -> DataFrame:
     return recordings.select("id", "audio").mapInArrow(_print(rate), "id bigint, print binary")
 
 
-_FOUND = "id bigint, n_matches bigint, best_id bigint, best_offset bigint, best_error double"
+_FOUND = "asked string, class string, offset bigint, error double, overlap bigint"
+_MATCHES = "array<struct<class: string, id: bigint, recordings: bigint, offset: bigint, error: double, overlap: bigint>>"
 
 
 def _visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by block, its recordings before its queries."""
-    current, ids, prints, index = None, [], [], None
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-    names = [f.split()[0] for f in _FOUND.split(", ")]
+    """Rows come by block, its classes before the asked ones."""
+    current, names, prints, stack = None, [], [], None
+    types = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64()]
+    columns = [f.split()[0] for f in _FOUND.split(", ")]
     for b in batches:
         rows = []
-        for block, asks, i, data in zip(*(b.column(k).to_pylist() for k in range(4))):
+        for block, asks, name, data in zip(*(b.column(k).to_pylist() for k in range(4))):
             if block != current:
-                current, ids, prints, index = block, [], [], None
+                current, names, prints, stack = block, [], [], None
             if not asks:
-                ids.append(i)
+                names.append(name)
                 prints.append(np.frombuffer(data, "<u4"))
                 continue
-            if index is None:
-                index = chroma.Block(ids, prints)
-            found = [m for m in index.matches(np.frombuffer(data, "<u4"), MIN_HITS, MIN_OVERLAP, MAX_ERROR) if m[0] != i]
-            if found:
-                best = min(found, key=lambda m: (m[2], -m[3], m[0] is None, m[0] or 0))
-                rows.append((i, len(found), best[0], best[1], best[2]))
+            if stack is None:
+                stack = chroma.Block(list(range(len(prints))), prints)
+            for who, offset, error, overlap in stack.matches(np.frombuffer(data, "<u4"), MIN_HITS, MIN_OVERLAP, MAX_ERROR):
+                if names[who] != name:
+                    rows.append((name, names[who], offset, error, overlap))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=columns)
+
+
+def _class(of: str = "print") -> Column:
+    return F.when(F.length(of) > 0, F.sha2(F.col(of), 256))
+
+
+def classes(prints: DataFrame) -> DataFrame:
+    """(class, print, least, most, rows): what recordings with equal fingerprints have in common."""
+    groups = prints.filter(F.length("print") > 0).groupBy("print").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("rows"))
+    return groups.select(_class().alias("class"), "print", "least", "most", "rows")
 
 
 def align(prints: DataFrame, queries: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per query (id, print): matches among ``prints``, and the one with the least bit error rate."""
+    """A row per query (id, print): its class, all its matches among ``prints`` by class, and the one with the least bit error rate.
+
+    ``matches`` has for each class a member's id (the least other than the query's, or
+    else the greatest) and the number of its recordings.
+    """
     spark = prints.sparkSession
-    n_blocks = -(-prints.count() // block_rows)
-    rows = queries.groupBy("id").agg(F.first("print").alias("print"))
-    if not n_blocks:
-        return rows.select("id", *[F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in _FOUND.split(", ")[1:])])
-    asked = rows.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(True).alias("asks"), "id", "print")
-    held = prints.select(F.pmod(F.xxhash64("id", "print"), F.lit(n_blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "id", "print")
+    held = written(classes(prints), "classes")
+    n_blocks = max(1, -(-held.count() // block_rows))
+    rows = queries.filter("id is not null").select("id", "print").distinct()
+    own = prints.groupBy("id", "print").agg(F.count(F.lit(1)).alias("own"))
+    rows = rows.join(own, ["id", "print"], "left").select("id", _class().alias("asked"), "print", F.coalesce("own", F.lit(0)).alias("own"))
+    rows = written(rows, "queries")
+    asked = rows.filter("asked is not null").select("asked", "print").distinct()
+    visits = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(True).alias("asks"), F.col("asked").alias("class"), "print")
+    kept = held.select(F.pmod(F.xxhash64("class"), F.lit(n_blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "class", "print")
     n = max(n_blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = held.unionByName(asked).repartition(n, "block").sortWithinPartitions("block", "asks")
-    found = dealt.mapInArrow(_visit, _FOUND)
-    best = F.min(F.struct(F.col("best_error"), "best_id", "best_offset")).alias("best")
-    found = found.groupBy("id").agg(F.sum("n_matches").alias("n_matches"), best)
-    return rows.join(found, "id", "left").select(
-        "id", F.coalesce("n_matches", F.lit(0)).cast("bigint").alias("n_matches"), "best.best_id", "best.best_offset", F.round("best.best_error", 9).alias("best_error")
+    found = kept.unionByName(visits).repartition(n, "block").sortWithinPartitions("block", "asks").mapInArrow(_visit, _FOUND)
+    same = asked.select("asked", F.col("asked").alias("class"), F.lit(0).cast("bigint").alias("offset"), F.lit(0.0).alias("error"), (F.length("print") / 4).cast("bigint").alias("overlap"))
+    found = found.unionByName(same).join(held.select("class", "least", "most", "rows"), "class")
+    item = F.struct(F.round("error", 9).alias("error"), (-F.col("overlap")).alias("less"), "least", "most", "class", "rows", "offset", "overlap")
+    lists = found.groupBy("asked").agg(F.array_sort(F.collect_list(item)).alias("found"))
+    rows = rows.join(lists, "asked", "left")
+    others = lambda m: m["rows"] - F.when(m["class"] == F.col("asked"), F.col("own")).otherwise(0)
+    member = lambda m: F.when(m["least"] != F.col("id"), m["least"]).when(m["most"] != F.col("id"), m["most"])
+    listed = F.transform(
+        F.filter(F.coalesce("found", F.array()), lambda m: others(m) > 0),
+        lambda m: F.struct(m["class"].alias("class"), member(m).alias("id"), others(m).alias("recordings"), m["offset"].alias("offset"), m["error"].alias("error"), m["overlap"].alias("overlap")),
     )
+    rows = rows.select("id", F.col("asked").alias("class"), listed.cast(_MATCHES).alias("matches"))
+    total = F.aggregate("matches", F.lit(0).cast("bigint"), lambda a, m: a + m["recordings"])
+    best = F.get("matches", F.lit(0))
+    return rows.select("id", "class", total.alias("n_matches"), best["id"].alias("best_id"), best["offset"].alias("best_offset"), best["error"].alias("best_error"), "matches")
 
 
 def search(recordings: DataFrame, every: int = 20) -> DataFrame:
-    """Queries are the recordings whose id is divisible by ``every``; all recordings are searched."""
+    """A row per recording (id, fingerprint) with its class; those whose id is divisible by ``every`` are queries and have matches."""
     prints = written(fingerprints(recordings), "fingerprints")
-    return align(prints, prints.filter(F.col("id") % every == 0))
+    asks = F.col("id") % every == 0
+    found = align(prints, prints.filter(asks))
+    others = prints.filter(~F.coalesce(asks, F.lit(False))).select("id", "print").distinct().select("id", _class().alias("class"))
+    return found.unionByName(others, allowMissingColumns=True)

@@ -76,3 +76,13 @@ def test_empty_and_odd_vectors(spark):
     vectors = spark.createDataFrame([(0, [0.1] * 64), (20, None), (40, [0.5, None] * 32), (60, [])], "vec_id bigint, v array<float>")
     rows = audio_match.search(audio_match.sung(vectors, "vec_id", "v")).collect()
     assert sorted(r.id for r in rows) == [0, 20, 40, 60]
+
+
+def test_all_matches_are_returned_by_class(spark):
+    rows = [(0, pcm(tune(3))), (1, pcm(tune(3))), (2, pcm(tune(3)[256 * 6 :])), (3, pcm(tune(3)[256 * 6 :])), (4, pcm(tune(3)[256 * 9 :])), (5, pcm(tune(9)))]
+    out = audio_match.search(spark.createDataFrame(rows, "id bigint, audio binary")).collect()
+    of = {r.id: r["class"] for r in out}
+    assert len(out) == 6 and of[0] == of[1] and of[2] == of[3] and len(set(of.values())) == 4
+    (r,) = [r for r in out if r.matches is not None]
+    assert r.id == 0 and r.n_matches == 4 and [(m["class"], m.recordings, m.offset) for m in r.matches] == [(of[1], 1, 0), (of[2], 2, -6), (of[4], 1, -9)]
+    assert r.matches[0].id == 1 and r.best_id == 1
