@@ -4,9 +4,10 @@ Recordings are rows of (id, audio): PCM samples, 16 bits, little-endian, one
 channel. Each becomes packed integers (see ``chroma``). Recordings with equal
 fingerprints are a class, and classes are aligned: they are dealt to blocks of
 about ``block_rows`` by a hash, every asked class visits every block, and a block
-returns one row per matched class. Equal integers give offset histograms; an offset
-with enough hits is judged by its bit error rate over the overlap. Copies never
-expand to pairs.
+returns one row per matched class. At each offset with MIN_OVERLAP positions the
+bit errors are summed, so that no match within MAX_ERROR is missed and none is
+dropped; copies never expand to pairs. The work is that of all queries against all
+classes.
 
 Defined results: null or too short audio has an empty fingerprint, no class, and
 matches nothing; recordings of fewer than MIN_OVERLAP positions match only those
@@ -30,7 +31,7 @@ from tessella.llm.common import small_batches, written
 
 RATE = 4_000
 BLOCK_ROWS = 4_096
-MIN_HITS, MIN_OVERLAP, MAX_ERROR = 2, 20, 0.25
+MIN_OVERLAP, MAX_ERROR = 20, 0.25
 
 NOTE = 256
 
@@ -98,8 +99,8 @@ def _visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 prints.append(np.frombuffer(data, "<u4"))
                 continue
             if stack is None:
-                stack = chroma.Block(list(range(len(prints))), prints)
-            for who, offset, error, overlap in stack.matches(np.frombuffer(data, "<u4"), MIN_HITS, MIN_OVERLAP, MAX_ERROR):
+                stack = chroma.Stack(prints)
+            for who, offset, error, overlap in stack.aligned(np.frombuffer(data, "<u4"), MIN_OVERLAP, MAX_ERROR):
                 if names[who] != name:
                     rows.append((name, names[who], offset, error, overlap))
         if rows:

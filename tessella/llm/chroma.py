@@ -121,3 +121,47 @@ class Block:
                 if who not in best or (found[0], -n, shift) < (best[who][0], -best[who][2], best[who][1]):
                     best[who] = found
         return [(self.ids[w], shift, rate, n) for w, (rate, shift, n) in sorted(best.items())]
+
+
+class Stack:
+    """The fingerprints of a block of recordings by length, two positions to a word, for sums of bit errors at every offset."""
+
+    #: Positions held by one array, so that the words compared at an offset stay in the cache.
+    HELD = 1 << 17
+
+    def __init__(self, prints: list[np.ndarray]):
+        lengths = np.array([len(p) for p in prints], dtype=np.int64)
+        self.groups = []
+        for n in np.unique(lengths[lengths > 0]).tolist():
+            at = np.flatnonzero(lengths == n)
+            for some in np.array_split(at, -(-len(at) * n // self.HELD)):
+                if len(some):
+                    one = np.ascontiguousarray(np.stack([prints[i] for i in some]).T)
+                    self.groups.append((some, one, _paired(one)))
+
+    def aligned(self, query: np.ndarray, min_overlap: int, max_error: float) -> list[tuple[int, int, float, int]]:
+        """(place in the block, offset, bit error rate, positions) of each recording that aligns, by the best of all its offsets."""
+        m, best = len(query), {}
+        single = query.astype(np.uint32)[:, None]
+        double = _paired(single)
+        for places, one, two in self.groups:
+            n = len(one)
+            for shift in range(min_overlap - m, n - min_overlap + 1):
+                lo, hi = max(0, -shift), min(m, n - shift)
+                size = hi - lo
+                if size < min_overlap or size <= 0:
+                    continue
+                wrong = np.bitwise_count(two[lo + shift : hi + shift - 1 : 2] ^ double[lo : hi - 1 : 2]).sum(0, dtype=np.int64)
+                if size % 2:
+                    wrong += np.bitwise_count(one[hi + shift - 1] ^ single[hi - 1])
+                for k in np.flatnonzero(wrong <= max_error * 32 * size).tolist():
+                    found = (int(wrong[k]) / (32 * size), -size, shift)
+                    who = int(places[k])
+                    if who not in best or found < best[who]:
+                        best[who] = found
+        return [(who, shift, rate, -size) for who, (rate, size, shift) in sorted(best.items())]
+
+
+def _paired(rows: np.ndarray) -> np.ndarray:
+    """Each row together with the next, as 64-bit words."""
+    return rows[:-1].astype(np.uint64) | (rows[1:].astype(np.uint64) << np.uint64(32))

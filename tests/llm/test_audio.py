@@ -78,6 +78,40 @@ def test_empty_and_odd_vectors(spark):
     assert sorted(r.id for r in rows) == [0, 20, 40, 60]
 
 
+def noisy(seed, share, bits=32):
+    """Fingerprint-like integers, and a copy in which every position has ``share`` of its bits flipped."""
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, 2, (40, bits))
+    b = a.copy()
+    for row in b:
+        row[rng.choice(bits, round(share * bits), replace=False)] ^= 1
+    return [(x << np.arange(bits, dtype=np.uint64)).sum(1).astype("<u4") for x in (a.astype(np.uint64), b.astype(np.uint64))]
+
+
+def test_bit_errors_in_every_integer_are_found(spark):
+    pairs = [noisy(s, share) for s, share in enumerate((0.1, 0.15, 0.2, 0.25))]
+    rows = [(20 * i, a.tobytes()) for i, (a, _) in enumerate(pairs)] + [(1000 + i + 1, b[3:].tobytes()) for i, (_, b) in enumerate(pairs)]
+    prints = spark.createDataFrame(rows, "id bigint, print binary")
+    got = {r.id: r for r in audio_match.align(prints, prints.filter("id < 1000"), 3).collect()}
+    assert {q: [(m.id, m.offset, m.overlap) for m in r.matches] for q, r in got.items()} == {20 * i: [(1001 + i, -3, 37)] for i in range(4)}
+
+
+def test_stack_against_brute_force():
+    rng = np.random.default_rng(5)
+    prints = [chroma.fingerprint(chroma.frames(tune(s, int(n)), audio_match.RATE)) for s, n in enumerate(rng.integers(30, 60, 24))]
+    stack, found = chroma.Stack(prints), 0
+    for q in prints[:8]:
+        expected = []
+        for who, b in enumerate(prints):
+            tries = [(wrong / (32 * n), -n, shift) for shift in range(-len(q), len(b)) for wrong, n in [chroma.bit_errors(q, b, shift)] if n >= 11 and wrong <= 0.3 * 32 * n]
+            if tries:
+                rate, n, shift = min(tries)
+                expected.append((who, shift, rate, -n))
+        assert stack.aligned(q, 11, 0.3) == expected
+        found += len(expected)
+    assert found > 8
+
+
 def test_all_matches_are_returned_by_class(spark):
     rows = [(0, pcm(tune(3))), (1, pcm(tune(3))), (2, pcm(tune(3)[256 * 6 :])), (3, pcm(tune(3)[256 * 6 :])), (4, pcm(tune(3)[256 * 9 :])), (5, pcm(tune(9)))]
     out = audio_match.search(spark.createDataFrame(rows, "id bigint, audio binary")).collect()
