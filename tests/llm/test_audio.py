@@ -120,3 +120,10 @@ def test_all_matches_are_returned_by_class(spark):
     (r,) = [r for r in out if r.matches is not None]
     assert r.id == 0 and r.n_matches == 4 and [(m["class"], m.recordings, m.offset) for m in r.matches] == [(of[1], 1, 0), (of[2], 2, -6), (of[4], 1, -9)]
     assert r.matches[0].id == 1 and r.best_id == 1
+
+
+def test_short_copies_and_repeated_ids(spark):
+    rows = [(0, pcm(tune(1, 24))), (1, pcm(tune(1, 24))), (20, pcm(tune(3))), (20, pcm(tune(4))), (7, pcm(tune(3))), (8, pcm(tune(4)))]
+    out = [r for r in audio_match.search(spark.createDataFrame(rows, "id bigint, audio binary")).collect() if r.matches is not None]
+    assert sorted((r.id, r.best_id, r.n_matches) for r in out) == [(0, 1, 1), (20, 7, 1), (20, 8, 1)]
+    assert [r.matches[0].overlap for r in out if r.id == 0] == [6]
