@@ -84,9 +84,11 @@ def _bare_name(entity: Column) -> Column:
 
 
 def canonical(kind: Column, entity: Column) -> Column:
-    """What mentions of one entity have in common."""
+    """What mentions of one entity have in common; phone numbers of the +1 plan are the same with and without that code."""
+    digits = F.regexp_replace(entity, r"\D", "")
     return (
-        F.when(kind.isin("card", "phone", "social"), F.regexp_replace(entity, r"\D", ""))
+        F.when((kind == "phone") & entity.startswith("+1") & (F.char_length(digits) == 11), F.substring(digits, 2, 10))
+        .when(kind.isin("card", "phone", "social"), digits)
         .when(kind == "iban", F.lower(F.regexp_replace(entity, " ", "")))
         .when(kind == "name", F.concat(_gender(entity), F.lit(":"), F.lower(_bare_name(entity))))
         .otherwise(F.lower(entity))
@@ -191,9 +193,10 @@ def surrogate(secret: str, kind: Column, form: Column, attempt: Column) -> Colum
 
 def rendered(kind: Column, entity: Column, new: Column) -> Column:
     """The surrogate in the layout and case of one mention."""
+    digits = F.regexp_replace(entity, r"\D", "")
+    code = F.substring(digits, F.lit(1), F.char_length(digits) - F.char_length(new))  # a country code that the form leaves out
 
-
-    def laid(fill: str, skip: str) -> Column:
+    def laid(fill: str, skip: str, new: Column = new) -> Column:
         """Characters of ``fill`` replaced in turn; ``skip`` is everything that the canonical form leaves out."""
         place = lambda i: F.char_length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), skip, ""))
         return F.array_join(F.transform(_characters(entity), lambda c, i: F.when(c.rlike(fill), F.substring(new, place(i), F.lit(1))).otherwise(c)), "")
@@ -204,7 +207,8 @@ def rendered(kind: Column, entity: Column, new: Column) -> Column:
     name, bare = F.substring(new, 3, 1_000), _bare_name(entity)
     name = F.when(bare == F.upper(bare), F.upper(name)).otherwise(F.initcap(name))
     return (
-        F.when(kind.isin("card", "phone", "social"), laid(r"^\d$", r"\D"))
+        F.when(kind == "phone", laid(r"^\d$", r"\D", F.concat(code, new)))
+        .when(kind.isin("card", "social"), laid(r"^\d$", r"\D"))
         .when(kind == "iban", F.upper(laid("^[A-Z0-9]$", " ")))
         .when(kind == "name", F.concat(_title(entity), F.lit(" "), name))
         .when(kind == "ip", new)

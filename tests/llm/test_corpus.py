@@ -318,6 +318,12 @@ def test_surrogates(spark):
     assert surrogates.replace(no_docs(spark)).count() == 0
 
 
+def test_phone_numbers_agree_with_and_without_country_code(spark):
+    docs = spark.createDataFrame([(1, "+1 (415) 555-1234 or (415) 555-1234, +49 (415) 555-1234")], "doc_id bigint, text string")
+    found = re.fullmatch(r"\+1 (\(\d{3}\) \d{3}-\d{4}) or (\(\d{3}\) \d{3}-\d{4}), \+4\d (\(\d{3}\) \d{3}-\d{4})", surrogates.replace(docs).first().text)
+    assert found and found[1] == found[2] != "(415) 555-1234" and found[3] != found[1]
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """With a draw of few values, collisions with each other and with real entities are drawn again."""
     forms = spark.createDataFrame([("card", f"{i:04d}") for i in range(40)], "kind string, form string")
