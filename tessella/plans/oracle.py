@@ -37,9 +37,12 @@ BATCH = """bat AS (SELECT wid, rank, (rank - 1) // 8 AS batch FROM
  (SELECT wid, row_number() OVER (ORDER BY md5('42:1:' || wid), wid) AS rank FROM parts WHERE split = 'train'))"""
 PAIRS = """pairs AS (SELECT d.doc_id, coalesce(l.quality, 255) AS y, CASE WHEN d.n_chars >= 1000 THEN 1 ELSE 0 END AS pred
  FROM documents d LEFT JOIN labels l USING (doc_id))"""
-EPOCHS = """ep AS (SELECT *, (epoch - 1) // 8 AS batch FROM (SELECT event_type AS experiment, event_id,
- row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS epoch, value AS val_loss,
- CASE WHEN event_id % 11 = 0 THEN 255 ELSE event_id % 2 END AS y, CASE WHEN value >= 100 THEN 1 ELSE 0 END AS pred FROM events) WHERE epoch <= 300)"""
+RANKED = """ev AS (SELECT *, (rank - 1) // 300 AS run, (rank - 1) % 300 + 1 AS epoch FROM
+ (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rank FROM events)),
+named AS (SELECT *, CASE WHEN run = 0 THEN event_type ELSE event_type || '#' || (run + 1) END AS experiment FROM ev)"""
+EPOCHS = f"""{RANKED},
+ep AS (SELECT experiment, epoch, (epoch - 1) // 8 AS batch, value AS val_loss,
+ CASE WHEN event_id % 11 = 0 THEN 255 ELSE event_id % 2 END AS y, CASE WHEN value >= 100 THEN 1 ELSE 0 END AS pred FROM named)"""
 LABELLED = [OPT, SIZE, TRI, EDGES, BURN, LABEL]
 WINDOWED = [*LABELLED, windows()]
 PARTED = [*WINDOWED, SPLIT]
@@ -124,7 +127,8 @@ SELECT (nb."row" // {stride}) * {width} + nb.col // {stride} AS idx, nb."row" //
 FROM nb JOIN opt ON opt."row" = sr AND opt.col = sc GROUP BY ALL"""
 
 
-STOPPING = """RECURSIVE ep AS (SELECT event_type AS experiment, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS epoch, value AS val_loss FROM events),
+STOPPING = f"""RECURSIVE {RANKED},
+ep AS (SELECT experiment, epoch, value AS val_loss FROM named),
 fold AS (SELECT DISTINCT experiment, CAST(0 AS BIGINT) AS epoch, CAST(NULL AS BIGINT) AS stop, CAST(NULL AS BIGINT) AS best_epoch, CAST(NULL AS DOUBLE) AS best, CAST(0 AS BIGINT) AS misses FROM ep
 UNION ALL SELECT f.experiment, e.epoch,
  CASE WHEN e.epoch <= 20 THEN NULL WHEN f.best IS NULL THEN NULL WHEN f.best - e.val_loss > 5e-5 THEN NULL WHEN f.misses + 1 > 15 THEN e.epoch END,
