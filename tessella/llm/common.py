@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows in one Arrow batch. Documents may be megabytes long, so batches stay short.
-BATCH_ROWS = 256
+#: Rows and bytes of one Arrow batch. Documents may be megabytes long, so batches end by bytes.
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,14 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder below spark.checkpoint.dir, which every executor can reach.
 
-    The setting is read from the session. Only where it is unset (tests on one
-    machine) is a local folder made and set.
+    The setting is read from the session. Only in a session on one machine may it be
+    unset: a local folder is then made and set. Elsewhere that raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             root = jvm_dir.get()
+        elif not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
             spark.sparkContext.setCheckpointDir(root)
@@ -48,11 +50,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch, so that long texts can't add up in a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows or int(spark.conf.get(key, "10000")) <= 0:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Bound the rows and bytes of an Arrow batch, so that long texts can't add up in a worker.
+
+    Frames are lazy, so the session keeps these bounds; they are only ever lowered.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = (spark.conf.get(key, None) or "").lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def text_or_empty(text: str = "text") -> Column:

@@ -1,6 +1,7 @@
 """Operator 1: token counts by overlap resynchronisation.
 
-Texts up to ``huge_chars`` code points are counted where they lie. A longer one
+Texts up to ``huge_chars`` code points are counted where they lie, group by group
+with a memo whose counts are the library's. A longer one
 is cut into overlapping chunks which are dealt over the cluster by a hash of
 (text, chunk). Each chunk is encoded with offsets; neighbouring chunks are
 spliced at a boundary where both encodings start a token at the same character
@@ -46,7 +47,7 @@ def _count_direct(path: str):
         memo = _memo(path)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            counts = [len(ids) // 4 for ids in memo.batch(texts)]
+            counts = list(memo.counts(texts))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"]
             )
@@ -109,6 +110,7 @@ def _splice(encoded: DataFrame) -> DataFrame:
 def count_huge(texts: DataFrame, path: str, chunk_chars: int, overlap_chars: int) -> DataFrame:
     """(key, n_tokens) for frames of (key, text); equal keys hold equal texts."""
     todo, done, chunk, overlap = texts, None, chunk_chars, overlap_chars
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
         step = chunk - overlap
         length = F.char_length("text")
@@ -116,6 +118,7 @@ def count_huge(texts: DataFrame, path: str, chunk_chars: int, overlap_chars: int
         chunks = (
             todo.select("key", "text", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk_no"))
             .select("key", "chunk_no", (F.col("chunk_no") * step).alias("start"), F.expr(f"substring(text, int(chunk_no * {step} + 1), {chunk})").alias("chunk"))
+            .repartition(n, "key", "chunk_no")  # by number, so that chunks, small but costly, aren't put together
             .groupBy("key", "chunk_no", "start")
             .agg(F.first("chunk").alias("chunk"))
         )

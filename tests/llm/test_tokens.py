@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from common import by_row, no_docs, odd_docs, odd_rows, texts
@@ -36,10 +37,33 @@ def odd_strings(n=400):
 
 
 def test_memo_equals_library(library):
-    memo = PieceMemo(WORDS, capacity=50)
+    memo = PieceMemo(WORDS, memo_bytes=50_000)
     strings = odd_strings() + [t or "" for t in texts()]
-    for text, got in zip(strings, memo.batch(strings)):
+    for text, got, count in zip(strings, memo.batch(strings), memo.counts(strings)):
         assert np.frombuffer(got, "<u4").tolist() == ids_of(library, text), text
+        assert count == len(ids_of(library, text)), text
+    assert memo.held <= 26_000 and memo.old
+
+
+def test_memo_equals_library_for_every_letter_before_a_mark(library):
+    """Letters that the library takes apart or puts together before it splits, among them the dotted capital I and nukta letters."""
+    memo = PieceMemo(WORDS)
+    letters = [chr(i) for i in (*range(0x80, 0xD800), *range(0xE000, 0x20000))]
+    for mark in ".,":
+        strings = [c + mark for c in letters]
+        expected = library.encode_batch_fast(strings, add_special_tokens=False)
+        for part in range(0, len(strings), 20_000):
+            some = strings[part : part + 20_000]
+            assert [np.frombuffer(x, "<u4").tolist() for x in memo.batch(some)] == [e.ids for e in expected[part : part + 20_000]]
+    for text in ("İ.", "ŞİRKETİ, KEDİ. GİTTİ!", "ज़.", "h\u0331 H\u0331.", "K. Å, ẞ."):
+        assert [np.frombuffer(x, "<u4").tolist() for x in memo.batch([text])] == [ids_of(library, text)], text
+
+
+def test_long_words_are_not_remembered(library):
+    memo = PieceMemo(WORDS)
+    text = "".join(random.Random(2).choice("abcdefgh") for _ in range(1_000_000))
+    assert list(memo.counts([text])) == [len(ids_of(library, text))]
+    assert memo.held == 0
 
 
 def test_memo_refuses_other_vocabularies():
@@ -108,18 +132,39 @@ def test_shards_read_back(spark, library):
     assert sst_shards.tokens_to_shards(no_docs(spark), WORDS).count() == 0
 
 
+def test_files_are_bounded_and_read_by_ranges(spark, library, tmp_path):
+    manifest = sst_shards.write_shards(odd_docs(spark), str(tmp_path), WORDS, 2, n_parts=2, file_bytes=20_000, file_rows=7)
+    files = manifest.collect()
+    assert len(files) >= 6 and max(f.n_docs for f in files) <= 7
+    rows = odd_rows()
+    whole = sst_shards.read_shards(manifest, run_blocks=1).collect()
+    assert len(whole) == len(rows) and sum(f.n_tokens for f in files) == sum(r.n_tokens for r in whole)
+    for doc_id in (None, 3, 10, 12):
+        expected = sorted(ids_of(library, r[1]) + [2] for r in rows if r[0] == doc_id)
+        assert sorted(sst_shards.find(manifest, doc_id)) == expected
+    assert sst_shards.find(manifest, 10**9) == []
+
+
+def test_shards_split_one_repeated_row(spark):
+    docs = spark.range(3_000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.lit("the same text").alias("text"))
+    from tessella.llm.common import scratch
+
+    parts = sst_shards.write_shards(docs, scratch(spark, "repeated"), WORDS, 2, n_parts=12).groupBy("part").agg(F.sum("n_docs").alias("n")).collect()
+    assert len(parts) == 12 and max(p.n for p in parts) < 600
+
+
 def test_table_file_lookup():
     rng = random.Random(8)
     keys = sorted([None, None, -5, -5, 0, 7, 7, 7, *rng.sample(range(10, 10**12), 500)], key=lambda k: (k is not None, k))
     rows = [(k, np.array([rng.randrange(60000) for _ in range(rng.randint(0, 40))], "<u4").tobytes()) for k in keys]
     for width in (2, 4):
         data = sst_shards.memory_table(rows, width, block_bytes=700)
-        assert [(k, v) for k, _, v in Reader(data).scan()] == rows
+        assert [(k, v) for k, _, v in Reader.of(data).scan()] == rows
         for k in {k for k in keys}:
             assert sorted(sst_shards.lookup(data, k)) == sorted(np.frombuffer(v, "<u4").tolist() for i, v in rows if i == k)
         assert all(sst_shards.lookup(data, k) == [] for k in range(1, 7) if k not in keys)
-        assert len(Reader(data).index) > 5
+        assert len(Reader.of(data).index) > 5
     damaged = bytearray(data)
     damaged[20] ^= 1
     with pytest.raises(ValueError):
-        list(Reader(bytes(damaged)).scan())
+        list(Reader.of(bytes(damaged)).scan())
