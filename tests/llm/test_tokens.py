@@ -91,13 +91,27 @@ def test_counts_of_nothing(spark):
 
 
 def test_agenda_equals_library():
-    codec = piece_codec.PieceCodec(PIECES, capacity=60)
+    codec = piece_codec.PieceCodec(PIECES, memo_bytes=20_000)
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     strings = odd_strings() + [t or "" for t in texts()]
     for text, (ids, decoded) in zip(strings, codec.batch(strings)):
         expected = lib.encode(text)
         assert ids == ",".join(map(str, expected)), text
         assert decoded == lib.decode(expected), text
+    assert codec.held <= 11_000 and codec.old
+
+
+def test_rows_of_agendas_equal_heaps():
+    codec, rng = piece_codec.PieceCodec(PIECES), random.Random(3)
+    units = ["▁" * rng.randint(0, 3) + "".join(rng.choice("etaoinshrdluéß가🎵'.") for _ in range(rng.randint(1, 30))) for _ in range(5_000)]
+    assert codec.encoded(units) == [codec.agenda(u) for u in units]
+
+
+def test_long_units_are_not_remembered():
+    codec, lib = piece_codec.PieceCodec(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    text = "".join(random.Random(2).choice("日本語のテキストabc") for _ in range(60_000))
+    ((ids, decoded),) = codec.batch([text])
+    assert ids == ",".join(map(str, lib.encode(text))) and decoded == text and codec.held == 0
 
 
 def test_encode_decode(spark):
