@@ -20,18 +20,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SPACE_CLASS, free_name, words_of, written
+from tessella.llm.common import SPACE_CLASS, free_name, let, words_of, written
 
 #: Rows that the estimates are made on, about.
 SAMPLE_ROWS = 2_000
 SYMBOLS = r"[#*$%&|<>]"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once, and only where the result is needed."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def word_chars(words: Column) -> Column:
     return F.char_length(F.array_join(words, "")).cast("bigint")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 import public_tokenizers
@@ -66,8 +67,10 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed by the session's setting; where there is none, by a random key, so that surrogates differ from run to run."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return surrogates.replace(docs, count="n_entities").select("doc_id", "n_entities", "text")
+    key = spark.conf.get("spark.tessella.surrogates.secret", None) or secrets.token_hex(32)
+    return surrogates.replace(docs, key, count="n_entities").select("doc_id", "n_entities", "text")
 
 
 def op9_audio_match(spark: SparkSession, sf_dir: str) -> DataFrame:
