@@ -41,13 +41,24 @@ def test_quality(spark):
 
 
 def test_cascade_order(spark):
-    docs = spark.range(300).select(F.concat(F.lit("w "), F.col("id")).alias("text"))
+    rows = [(i, "one two" if i % 2 else "a b c d # # #" if i % 4 else "w " * 200) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     rules = (
-        quality_cascade.Rule("none", lambda t, w: F.size(w) > 99),
-        quality_cascade.Rule("most", lambda t, w: F.size(w) < 3),
+        quality_cascade.Rule("none", lambda c: c.n_words > 999, 0, 1),
+        quality_cascade.Rule("dear", lambda c: c.n_words < 8, 50, 0),
+        quality_cascade.Rule("half", lambda c: c.n_words < 3, 0, 1),
+        quality_cascade.Rule("marks", lambda c: c.n_symbols > 2, 1, 0),
     )
-    assert [e.rule.name for e in quality_cascade.estimates(docs, rules)] == ["most", "none"]
-    assert quality_cascade.estimates(docs, rules)[0].rejected == 1.0
+    first = quality_cascade.estimates(docs, rules)
+    assert [e.rule.name for e in first] == ["half", "marks", "none", "dear"]
+    # of the rows that 'half' leaves, 'marks' rejects half, and after both nothing is left for the others
+    assert [e.rejected for e in first] == [0.5, 0.5, 0.0, 0.0]
+    assert all(quality_cascade.estimates(docs, rules) == first for _ in range(2))
+
+
+def test_rows_that_fail_the_base_rules_reach_no_other(spark):
+    rows = quality_cascade.annotate(odd_docs(spark)).collect()
+    assert all((r.rejected_by == "base") == r.base_failed and r.kept == (r.rejected_by is None) for r in rows)
 
 
 # -- 2
