@@ -30,7 +30,7 @@ from tessella.llm import chroma
 from tessella.llm.common import small_batches, written
 
 RATE = 4_000
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 2_048
 MIN_OVERLAP, MAX_ERROR = 20, 0.25
 
 NOTE = 256

@@ -87,42 +87,6 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
     return int(np.bitwise_count(a[lo:hi] ^ b[lo + offset : hi + offset]).sum()), hi - lo
 
 
-class Block:
-    """The fingerprints of a block of recordings with their inverted index."""
-
-    def __init__(self, ids: list[int], prints: list[np.ndarray]):
-        self.ids, self.prints = ids, prints
-        sizes = [len(p) for p in prints]
-        values = np.concatenate(prints) if prints else np.empty(0, dtype=np.uint32)
-        order = np.argsort(values, kind="stable")
-        self.values = values[order]
-        self.owner = np.repeat(np.arange(len(prints)), sizes)[order]
-        self.place = (np.concatenate([np.arange(n) for n in sizes]) if prints else np.empty(0, dtype=np.int64))[order]
-
-    def matches(self, query: np.ndarray, min_hits: int, min_overlap: int, max_error: float) -> list[tuple[int, int, float, int]]:
-        """(id, offset, bit error rate, positions) of each recording that aligns, by the best of its offsets.
-
-        Offsets with ``min_hits`` equal integers in their histogram are tried.
-        """
-        lo, hi = np.searchsorted(self.values, query, "left"), np.searchsorted(self.values, query, "right")
-        count = hi - lo
-        total = int(count.sum())
-        if not total:
-            return []
-        at = np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(total)
-        owner, offset = self.owner[at], self.place[at] - np.repeat(np.arange(len(query)), count)
-        pair, hits = np.unique((owner << 32) + (offset + (1 << 31)), return_counts=True)
-        best: dict[int, tuple[float, int, int]] = {}
-        for p in pair[hits >= min_hits].tolist():
-            who, shift = p >> 32, (p & 0xFFFFFFFF) - (1 << 31)
-            wrong, n = bit_errors(query, self.prints[who], shift)
-            if n >= min_overlap and wrong <= max_error * 32 * n:
-                found = (wrong / (32 * n), shift, n)
-                if who not in best or (found[0], -n, shift) < (best[who][0], -best[who][2], best[who][1]):
-                    best[who] = found
-        return [(self.ids[w], shift, rate, n) for w, (rate, shift, n) in sorted(best.items())]
-
-
 class Stack:
     """The fingerprints of a block of recordings by length, two positions to a word, for sums of bit errors at every offset."""
 
@@ -151,7 +115,8 @@ class Stack:
                 size = hi - lo
                 if size < min_overlap or size <= 0:
                     continue
-                wrong = np.bitwise_count(two[lo + shift : hi + shift - 1 : 2] ^ double[lo : hi - 1 : 2]).sum(0, dtype=np.int64)
+                small = np.uint16 if 32 * size < 1 << 16 else np.int64
+                wrong = np.bitwise_count(two[lo + shift : hi + shift - 1 : 2] ^ double[lo : hi - 1 : 2]).sum(0, dtype=small)
                 if size % 2:
                     wrong += np.bitwise_count(one[hi + shift - 1] ^ single[hi - 1])
                 for k in np.flatnonzero(wrong <= max_error * 32 * size).tolist():
