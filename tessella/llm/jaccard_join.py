@@ -31,7 +31,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessella.llm import shingles as sh
 from tessella.llm.common import free_name, small_batches, written
@@ -231,8 +230,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     signed, per_set = classes(docs)
     heads = per_set.select("class_key", F.col("head.row_key").alias("row_key")).distinct().select("row_key", F.lit(True).alias("once"))
     heads = heads.unionByName(signed.filter("set_key is null").select("row_key", F.lit(False).alias("once")).distinct())
-    key, once, nth = free_name(docs, "row_key"), free_name(docs, "once"), free_name(docs, "nth")
-    rows = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
-    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key)))
-    kept = rows.join(heads.select(F.col("row_key").alias(key), F.col("once").alias(once)), key)
-    return kept.filter(~F.col(once) | (F.col(nth) == 1)).select(*docs.columns)
+    repeated = signed.groupBy("row_key").count().filter("count > 1").select("row_key", F.lit(True).alias("repeated"))
+    key, once, many = free_name(docs, "row_key"), free_name(docs, "once"), free_name(docs, "repeated")
+    heads = heads.join(repeated, "row_key", "left").select(F.col("row_key").alias(key), F.col("once").alias(once), (F.col("once") & F.coalesce("repeated", F.lit(False))).alias(many))
+    heads = written(heads, "heads")  # written, so that the join with a row that many repeat is a plain one, which Spark splits
+    kept = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(heads, key)
+    return kept.filter(~F.col(many)).unionByName(kept.filter(F.col(many)).dropDuplicates([key])).select(*docs.columns)

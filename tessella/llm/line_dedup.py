@@ -1,7 +1,7 @@
 """Operator 10: line deduplication by a deletion-neighbourhood join.
 
 A line is its sequence of words. A line goes when an earlier line of the corpus
-is equal, or, where both have NEAR_WORDS words or more, when an earlier line is
+is equal, or, where both have ``near_words`` words or more, when an earlier line is
 within one inserted, missing or replaced word. Order: identifier, then a hash of
 the text, then line number.
 
@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 from tessella.llm import line_keys
 from tessella.llm.common import free_name, small_batches, written
 
-#: Documents whose near lines may be sent to all executors (about 50 bytes each); more are shuffled.
-BROADCAST_ROWS = 200_000
+#: Bytes of line numbers that may be sent to all executors; more are shuffled.
+BROADCAST_BYTES = 32 << 20
 
 _RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_kept", T.LongType())])
 _ORDER = ["none", "doc_id", "rid", "line_no"]
@@ -45,33 +45,36 @@ def rid_of(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "rid", "line_no", "n_words", "h1", "h2", "halves"]
-    for b in batches:
-        source, parts, sizes = [], [[], [], [], []], []
-        halves = []
-        texts = [t or b"" for t in b.column(2).to_pylist()]
-        for lo, hi in line_keys.runs(np.array([len(t) for t in texts])):
-            text, line, n, h1, h2, owner, key = line_keys.lines_of_many(texts[lo:hi])
-            source.append(text + lo)
-            for store, values in zip(parts, (line, n, h1, h2)):
-                store.append(values)
-            halves.append(key[np.argsort(owner, kind="stable")])
-            sizes.append(np.bincount(owner, minlength=len(line)))
-        if not source:
-            continue
-        at = pa.array(np.concatenate(source))
-        cat = [pa.array(np.concatenate(p).astype(np.int64)) for p in parts]
-        offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(halves).astype(np.int64)))
-        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *cat, lists], names=names)
-
-
-def scan_lines(docs: DataFrame) -> DataFrame:
+def _scan(near_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "rid", "line_no", "n_words", "h1", "h2", "halves"]
+        for b in batches:
+            source, parts, sizes = [], [[], [], [], []], []
+            halves = []
+            texts = [t or b"" for t in b.column(2).to_pylist()]
+            for lo, hi in line_keys.runs(np.array([len(t) for t in texts])):
+                text, line, n, h1, h2, owner, key = line_keys.lines_of_many(texts[lo:hi], near_words)
+                source.append(text + lo)
+                for store, values in zip(parts, (line, n, h1, h2)):
+                    store.append(values)
+                halves.append(key[np.argsort(owner, kind="stable")])
+                sizes.append(np.bincount(owner, minlength=len(line)))
+            if not source:
+                continue
+            at = pa.array(np.concatenate(source))
+            cat = [pa.array(np.concatenate(p).astype(np.int64)) for p in parts]
+            offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(halves).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *cat, lists], names=names)
+
+    return run
+
+
+def scan_lines(docs: DataFrame, near_words: int = line_keys.NEAR_WORDS) -> DataFrame:
     """One row per line with words: where it is, its words, its hashes and half keys."""
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", rid_of(F.col("text")).alias("rid"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_scan, "doc_id bigint, rid bigint, line_no bigint, n_words bigint, h1 bigint, h2 bigint, halves array<bigint>")
+    return rows.mapInArrow(_scan(near_words), "doc_id bigint, rid bigint, line_no bigint, n_words bigint, h1 bigint, h2 bigint, halves array<bigint>")
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,14 +105,16 @@ def _within_one(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([line_keys.one_edit(words(x), words(y)) for x, y in zip(a, b)])
 
 
-def near_removed(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def near_removed(docs: DataFrame, lines: DataFrame, near_words: int = line_keys.NEAR_WORDS) -> DataFrame:
     """(h1, h2) of the distinct lines that an earlier line is near to."""
-    keyed = lines.filter(F.col("n_words") >= line_keys.NEAR_WORDS).select(F.xxhash64("h1", "h2").alias("node"), F.explode("halves").alias("half"), *_ORDER)
+    keyed = lines.filter(F.col("n_words") >= near_words).select(F.xxhash64("h1", "h2").alias("node"), F.explode("halves").alias("half"), *_ORDER)
     shared = keyed.groupBy("half").agg(F.min("node").alias("m"), F.max("node").alias("x")).filter("m < x").select("half")
+    shared = written(shared, "shared-halves")  # like the other written tables of keys: a join with a frequent one is then a plain one, which Spark splits
     wanted = keyed.join(shared, "half", "left_semi").groupBy("doc_id", "rid").agg(F.collect_set("line_no").alias("wanted"))
     wanted = written(wanted, "near-lines")
     texts = docs.select("doc_id", rid_of(F.col("text")).alias("rid"), F.col("text").cast("binary").alias("text"))
-    few = wanted.count() <= BROADCAST_ROWS
+    size = wanted.agg(F.sum(48 + 8 * F.size("wanted"))).first()[0] or 0
+    few = size <= BROADCAST_BYTES
     joined = texts.join(F.broadcast(wanted) if few else wanted, _same_row(texts, wanted))
     joined = joined.select(texts["doc_id"], texts["rid"], "text", "wanted")
     found = joined.mapInArrow(_variants, "doc_id bigint, rid bigint, line_no bigint, line string, keys array<bigint>")
@@ -120,11 +125,11 @@ def near_removed(docs: DataFrame, lines: DataFrame) -> DataFrame:
     line_id = F.xxhash64("place").alias("line_id")
     entries = found.select(line_id, F.posexplode("keys").alias("left_out", "key"))
     hits = entries.groupBy("key").agg(F.min("line_id").alias("m"), F.max("line_id").alias("x")).filter("m < x").select("key")
-    entries = written(entries.join(hits, "key"), "shared-variants").join(found.select(line_id, "place"), "line_id")
+    entries = written(entries.join(written(hits, "variant-hits"), "key"), "shared-variants").join(found.select(line_id, "place"), "line_id")
     firsts = entries.filter("left_out > 0").groupBy("key", "left_out").agg(F.min("place").alias("other"))
-    replaced = entries.join(firsts, ["key", "left_out"]).select("place", "other")
+    replaced = entries.join(written(firsts, "first-variants"), ["key", "left_out"]).select("place", "other")
     bases = entries.filter("left_out = 0").groupBy("key").agg(F.min("place").alias("other"))
-    inserted = entries.filter("left_out > 0").join(bases, "key").select("place", "other")
+    inserted = entries.filter("left_out > 0").join(written(bases, "whole-lines"), "key").select("place", "other")
     links = replaced.unionByName(inserted).filter("place <> other")
     links = links.select(F.greatest("place", "other").alias("later"), F.least("place", "other").alias("earlier")).distinct()
     # written, so that the join of a line that many are near to is a plain one, which Spark splits
@@ -134,12 +139,12 @@ def near_removed(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return links.filter(_within_one("later_line", "earlier_line")).select("later.*").distinct()
 
 
-def plan_lines(docs: DataFrame) -> DataFrame:
+def plan_lines(docs: DataFrame, near_words: int = line_keys.NEAR_WORDS) -> DataFrame:
     """(doc_id, rid, kept): the numbers of the lines with words that stay, per document that keeps any."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "line_no")).alias("first")
-    lines = scan_lines(docs).groupBy("h1", "h2").agg(first, F.first("n_words").alias("n_words"), F.first("halves").alias("halves"))
+    lines = scan_lines(docs, near_words).groupBy("h1", "h2").agg(first, F.first("n_words").alias("n_words"), F.first("halves").alias("halves"))
     lines = written(lines.select("h1", "h2", "n_words", "halves", "first.*"), "lines")
-    gone = near_removed(docs, lines)
+    gone = near_removed(docs, lines, near_words)
     same = [lines[c].eqNullSafe(gone[c]) for c in _ORDER]
     stay = lines.join(gone, same[0] & same[1] & same[2] & same[3], "left_anti")
     return stay.groupBy("doc_id", "rid").agg(F.collect_set("line_no").alias("kept"))

@@ -6,7 +6,7 @@ import numpy as np
 
 from tessella.llm.shingles import _mix, words_at
 
-#: Lines of fewer words are compared exactly only.
+#: Unless a caller says otherwise, lines of fewer words are compared exactly only: one word of few is much of a line.
 NEAR_WORDS = 8
 
 _U = np.uint64
@@ -28,7 +28,7 @@ def reach(n: np.ndarray) -> np.ndarray:
     return (1 << np.floor(np.log2(np.maximum(n, 2) / 2)).astype(np.int64)).astype(np.int64)
 
 
-def lines_of(text: bytes) -> tuple[np.ndarray, ...]:
+def lines_of(text: bytes, near_words: int = NEAR_WORDS) -> tuple[np.ndarray, ...]:
     """For the lines that have words: number, words, two hashes of all words; and per half key the line's index and the key.
 
     Two lines within one word's edit agree on the first or on the last half of the
@@ -49,8 +49,8 @@ def lines_of(text: bytes) -> tuple[np.ndarray, ...]:
     h1 = _mix(np.add.reduceat(whole, first) + n.astype(_U))
     h2 = _mix(np.add.reduceat(_mix(w ^ _K) * p2[place], first) ^ n.astype(_U))
     owners, keys = [], []
-    near = n >= NEAR_WORDS
-    for h, use in ((reach(n), near), (reach(n - 1), near & (n > NEAR_WORDS) & (reach(n - 1) != reach(n)))):
+    near = n >= near_words
+    for h, use in ((reach(n), near), (reach(n - 1), near & (n > near_words) & (reach(n - 1) != reach(n)))):
         if not use.any():
             continue
         each = np.repeat(h, n)
@@ -77,9 +77,9 @@ def runs(sizes: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
     return [*out, (start, len(sizes))] if len(sizes) else out
 
 
-def lines_of_many(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+def lines_of_many(texts: list[bytes], near_words: int = NEAR_WORDS) -> tuple[np.ndarray, ...]:
     """``lines_of`` for texts at once, with the text of each line in front."""
-    line, n, h1, h2, owner, key = lines_of(b"\n".join(texts))
+    line, n, h1, h2, owner, key = lines_of(b"\n".join(texts), near_words)
     lines = np.cumsum([t.count(b"\n") + 1 for t in texts])
     text = np.searchsorted(lines, line, side="right")
     return text, line - np.concatenate(([0], lines))[text], n, h1, h2, owner, key

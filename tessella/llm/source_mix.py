@@ -1,7 +1,7 @@
 """Operator 2: mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Each document draws a reproducible uniform u from a hash of its identifier and
-gets the key -ln(u) / quality weight; small keys come first. A source's target is
+Each document draws a reproducible uniform u from a hash of its identifier and text
+(so that rows without an identifier spread) and gets the key -ln(u) / quality weight; small keys come first. A source's target is
 filled by complete epochs of all its documents, then by the documents in key
 order while their running size stays within the rest. Where more than SLACK of a
 target is still open (few, long documents), up to ROUNDS further passes take those
@@ -73,6 +73,7 @@ def plan_mix(
         "doc_id",
         "source",
         row_key(F.col("doc_id"), F.col("text")).alias("row_key"),
+        F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5("text")).alias("named"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
     )
     if quality is not None:
@@ -80,7 +81,7 @@ def plan_mix(
         sized = sized.join(best, "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     else:
         sized = sized.withColumn("weight", F.lit(1.0))
-    keyed = sized.withColumn("key", -F.log(uniform(seed, F.col("doc_id"))) / F.col("weight"))
+    keyed = sized.withColumn("key", -F.log(uniform(seed, F.col("named"))) / F.col("weight")).drop("named")
     keyed = written(keyed.withColumn("group", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source"))), "mix-keys")
 
     sources = keyed.groupBy("group").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
@@ -143,11 +144,17 @@ def _fitting(pool: DataFrame, opened: DataFrame, per_bucket: DataFrame) -> DataF
 
 
 def draw(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """The rows of docs as often as the plan takes them, with all their columns."""
-    key, nth, copies = free_name(docs, "row_key"), free_name(docs, "nth"), free_name(docs, "copies")
-    per_key = plan.filter(F.col("copies") > 0).groupBy(F.col("row_key").alias(key)).agg(F.sort_array(F.collect_list("copies"), asc=False).alias(copies))
-    same = Window.partitionBy(key).orderBy(key)
-    rows = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).withColumn(nth, F.row_number().over(same))
-    times = F.coalesce(F.get(F.col(copies), F.col(nth) - 1), F.lit(0).cast("bigint"))
-    taken = rows.join(per_key, key).withColumn(copies, times).filter(F.col(copies) > 0)
-    return taken.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies)))).select(*docs.columns)
+    """The rows of docs as often as the plan takes them, with all their columns.
+
+    Rows equal in identifier and text share their copies evenly, so no row is numbered
+    among its equals; what doesn't divide comes from one of them.
+    """
+    key, each, more = free_name(docs, "row_key"), free_name(docs, "each"), free_name(docs, "more")
+    per_key = plan.groupBy(F.col("row_key").alias(key)).agg(F.sum("copies").alias("sum"), F.count(F.lit(1)).alias("n")).filter("sum > 0")
+    per_key = per_key.select(key, F.floor(F.col("sum") / F.col("n")).alias(each), (F.col("sum") % F.col("n")).alias(more))
+    per_key = written(per_key, "mix-copies")  # written, so that the join with a row that many repeat is a plain one, which Spark splits
+    rows = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
+    repeated = lambda df, times: df.withColumn(times, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times)))).select(*docs.columns)
+    evenly = repeated(rows.join(per_key.filter(F.col(each) > 0), key), each)
+    left = per_key.filter(F.col(more) > 0).select(key, more)
+    return evenly.unionByName(repeated(rows.join(left, key).dropDuplicates([key]), more))
