@@ -43,6 +43,23 @@ def report(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     return scores(class_counts(pairs, by))
 
 
+def report_lines(pairs: DataFrame, names: tuple[str, ...] = ("background", "foreground")) -> DataFrame:
+    """(line, text): the evaluation as a text, with thousands separators and shares as percent of two digits."""
+    whole = lambda c: F.format_number(c.cast("bigint"), 0)
+    share = lambda c: F.format_string("%.2f%%", F.round(100 * F.col(c), 2))
+    per = report(pairs).withColumn("name", F.get(F.array(*map(F.lit, names)), F.col("k").cast("int")))
+    n, all_n = F.first("n_valid"), F.first("n_total")
+    first = per.agg(F.lit(0).cast("bigint").alias("line"), F.concat(F.lit("Valid pixels: "), whole(n), F.lit(" / "), whole(all_n)).alias("text"))
+    text = F.concat(
+        F.lpad("name", 12, " "), F.lit(": Acc="), share("accuracy"), F.lit("  F1="), share("f1"), F.lit("  Prec="), share("precision"),
+        F.lit("  Rec="), share("recall"), F.lit("  Samples="), whole(F.col("support")),
+    )
+    cell = lambda c: whole(F.first(F.when(F.col("k") == 1, F.col(c)), ignorenulls=True))
+    matrix = F.concat(F.lit("TN="), cell("tn"), F.lit("  FP="), cell("fp"), F.lit("  FN="), cell("fn"), F.lit("  TP="), cell("tp"))
+    rows = first.unionByName(per.select((F.col("k") + 1).alias("line"), text.alias("text")))
+    return rows.unionByName(per.agg(F.lit(len(names) + 1).cast("bigint").alias("line"), matrix.alias("text")))
+
+
 def confusion_matrix(pairs: DataFrame) -> DataFrame:
     """Rows are labels, columns predictions; values outside the classes don't count."""
     y, p = F.col("y"), F.col("pred")

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.scalar import softmax
-from tessella.params import IGNORE, Experiment, Training
+from tessella.operators.earlystop import early_stop
+from tessella.operators.metrics import weighted_cross_entropy
+from tessella.params import IGNORE, Experiment, Stopping, Training
 
 
 def logits(bands: list[str], weights: dict[int, list[float]], bias: dict[int, float]) -> Column:
@@ -77,6 +79,34 @@ def score(model: PipelineModel, pixels: DataFrame, prefix: str = "p", classes: i
     return out.withColumns({f"{prefix}{i}": F.get("scores__", F.lit(i)) for i in range(classes)}).drop(*drop)
 
 
+def validation_loss(model: PipelineModel, pixels: DataFrame, training: Training = Training()) -> float:
+    """Class-weighted cross-entropy of the model's probabilities."""
+    z = F.transform(F.array("p0", "p1"), lambda p: F.log(F.greatest(p, F.lit(1e-300))))
+    return weighted_cross_entropy(score(model, pixels), z, training.class_weights).first()["loss"]
+
+
+def fit_best(
+    train: DataFrame, validation: DataFrame, features: list[str], training: Training = Training(), rule: Stopping = Stopping(), step: int = 1, most: int = 300
+) -> tuple[PipelineModel, DataFrame]:
+    """The model of the best validation loss, and the log (experiment, epoch, val_loss) of all rounds.
+
+    Round n has n * ``step`` iterations. Rounds end where ``early_stop`` says so, or
+    after ``most``; the model kept is that of its best epoch.
+    """
+    spark, log, models = train.sparkSession, [], {}
+    for epoch in range(1, most + 1):
+        learner = LogisticRegression(weightCol="weight", labelCol="y", maxIter=epoch * step, regParam=1e-4)
+        models[epoch] = fit(train, features, training, learner)
+        log.append(("fit", epoch, validation_loss(models[epoch], validation, training)))
+        rows = spark.createDataFrame(log, "experiment string, epoch bigint, val_loss double")
+        end = early_stop(rows, "experiment", rule).first()
+        if end["best_epoch"] is not None:  # only the best so far can still be the result
+            models = {k: m for k, m in models.items() if k in (end["best_epoch"], epoch)}
+        if end["stop_epoch"] is not None:
+            break
+    return models[end["best_epoch"] or epoch], rows
+
+
 @dataclass(frozen=True)
 class LateFusion:
     """A model per source, and one over their scores."""

@@ -13,6 +13,7 @@ from tessella.operators import augment, clean, earlystop, focal, grid, metrics,
 from tessella.params import Clipping, Experiment, Grid, Split, Training, Windows
 from tessella.sources import fixtures as fx
 from tessella.sources import raster
+from tessella.sources.scratch import folder, kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +49,21 @@ def eval_report(spark, sf):
     return _rounded(out, ["precision", "recall", "f1", "accuracy"])
 
 
+@query
+def report_text(spark, sf):
+    return metrics.report_lines(fx.evaluation_pairs(spark, sf))
+
+
+@query
+def report_append(spark, sf):
+    """Two appended reports, read back and counted."""
+    path = folder(spark, "report")
+    report = metrics.report(fx.evaluation_pairs(spark, sf))
+    for name in ("a", "b"):
+        raster.append_report(report.withColumn("experiment", F.lit(name)), path)
+    return spark.read.parquet(path).select("experiment", "k", "tp", "fp", "fn", "tn")
+
+
 @query
 def confusion_matrix(spark, sf):
     return metrics.confusion_matrix(fx.evaluation_pairs(spark, sf))
@@ -133,6 +149,62 @@ def constant_raster(spark, sf):
     return grid.constant(spark, g, 255, "y").select("idx", F.col("y").cast("bigint").alias("y"))
 
 
+# -- files
+
+
+@query
+def prepared_scan(spark, sf):
+    """The aligned raster as a prepared table; two bands of it are read."""
+    path = folder(spark, "prepared")
+    raster.write_table(fx.aligned(spark, sf), path)
+    px = raster.read_pixels(spark, path, ["b0", "l0"])
+    raster.require_bands(px, ["b0", "l0"])
+    return px.select("idx", "b0", "l0")
+
+
+@query
+def label_scan(spark, sf):
+    path, g = folder(spark, "label"), fx.grid(spark, sf)
+    raster.write_table(fx.labelled(spark, sf, fx.optical(spark, sf).select("idx"), g), path)
+    return raster.read_label(spark, path)
+
+
+@query
+def prediction_files(spark, sf):
+    path = folder(spark, "prediction")
+    raster.write_prediction(mosaic.classify(mosaic.average(_votes(spark, sf), ["p0", "p1"], OVERLAPS), ["p0", "p1"]), path)
+    back = spark.read.parquet(path)
+    return back.select("idx", *[F.round(F.col(p).cast("double"), 4).alias(p) for p in ("p0", "p1")])
+
+
+@query
+def georeferenced_files(spark, sf):
+    """Two bands with their metadata, read back with the map place of each pixel."""
+    path, g = folder(spark, "georeferenced"), fx.grid(spark, sf)
+    px = fx.optical(spark, sf)
+    raster.write_georeferenced(px, ["b1", "b3"], raster.raster_meta(spark, fx.TRANSFORM, "", g), path)
+    bands = spark.read.parquet(f"{path}/bands")
+    wide = bands.groupBy("idx").agg(*[F.max(F.when(F.col("band") == i, F.col("value"))).cast("double").alias(f"v{i}") for i in (1, 2)])
+    placed = wide.select("idx", grid.row_of(F.col("idx"), fx.WIDTH).alias("row"), grid.col_of(F.col("idx"), fx.WIDTH).alias("col"), "v1", "v2")
+    return raster.to_map(placed, spark.read.parquet(f"{path}/meta")).select("idx", "x", "y", "v1", "v2")
+
+
+@query
+def class_map_files(spark, sf):
+    path = folder(spark, "classes")
+    raster.write_class_map(spark, {0: 10, 1: 20}, path)
+    pairs = fx.evaluation_pairs(spark, sf)
+    return pairs.select("doc_id", scalar.remapped(F.col("y"), raster.read_class_map(spark, path)).alias("dst"))
+
+
+@query
+def polygon_files(spark, sf):
+    """Polygons written as GeoJSON, read back and burned."""
+    path, g = folder(spark, "polygons"), fx.grid(spark, sf)
+    raster.write_polygons(fx.rings(spark, sf, g), path, "EPSG:3857")
+    return vector.burned(vector.edges(raster.polygons_on(spark, path, "EPSG:3857", lines=True)), g)
+
+
 # -- cleaning
 
 
@@ -155,7 +227,8 @@ def masked_thresholds(spark, sf):
 
 
 def _normal(spark, sf) -> DataFrame:
-    return clean.clip_normalise(fx.aligned(spark, sf), fx.BANDS)
+    # extremes, histogram and output each pass over the aligned raster, so it is joined once
+    return clean.clip_normalise(kept(fx.aligned(spark, sf), "aligned"), fx.BANDS)
 
 
 @query
@@ -377,7 +450,7 @@ def segmentation_report(spark, sf):
 def train_weighted_lr(spark, sf):
     """Weighted classifiers of the three fusion settings, judged on the pixels of held-out rows."""
     g = fx.grid(spark, sf)
-    px = fx.labelled(spark, sf, fx.aligned(spark, sf), g)
+    px = kept(fx.labelled(spark, sf, fx.aligned(spark, sf), g), "labelled")  # every iteration of every model reads it
     test = F.floor(F.col("row") / 16) % 5 == 0
     train, held = px.filter(~test), px.filter(test)
     scored = {}

@@ -170,6 +170,25 @@ def oracle_sql() -> dict[str, str]:
 SELECT CAST(k AS VARCHAR) AS label, p, r, f1, support AS s FROM rep UNION ALL SELECT 'accuracy', min(acc), min(acc), min(acc), sum(support) FROM rep
 UNION ALL SELECT 'macro avg', {macro} FROM rep UNION ALL SELECT 'weighted avg', {weighted} FROM rep)""",
         ),
+        "report_text": sql(
+            [PAIRS, COUNTS],
+            """SELECT CAST(0 AS BIGINT) AS line, 'Valid pixels: ' || format('{:,}', (SELECT count(*) FROM pairs WHERE y <> 255)) || ' / ' || format('{:,}', (SELECT count(*) FROM pairs)) AS text
+UNION ALL SELECT k + 1, lpad(CASE k WHEN 0 THEN 'background' ELSE 'foreground' END, 12, ' ') || printf(': Acc=%.2f%%  F1=%.2f%%  Prec=%.2f%%  Rec=%.2f%%', round(100 * acc, 2), round(100 * f1, 2), round(100 * p, 2), round(100 * r, 2))
+ || '  Samples=' || format('{:,}', CAST(support AS BIGINT)) FROM rep
+UNION ALL SELECT 3, 'TN=' || format('{:,}', CAST(tn AS BIGINT)) || '  FP=' || format('{:,}', CAST(fp AS BIGINT)) || '  FN=' || format('{:,}', CAST(fn AS BIGINT)) || '  TP=' || format('{:,}', CAST(tp AS BIGINT)) FROM rep WHERE k = 1""",
+        ),
+        "report_append": sql([PAIRS, COUNTS], "SELECT e AS experiment, CAST(k AS BIGINT) AS k, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn FROM cnt, (SELECT unnest(['a', 'b']) AS e)"),
+        "prepared_scan": sql([OPT, LIDAR, ALIGNED], "SELECT idx, b0, l0 FROM al"),
+        "label_scan": sql(LABELLED, "SELECT idx, y FROM lab"),
+        "prediction_files": sql(
+            [OPT, SIZE, votes("prob").replace("round(avg(p0), 6)", "avg(p0)").replace("round(avg(p1), 6)", "avg(p1)")],
+            "SELECT idx, round(CAST(CAST(p0 AS FLOAT) AS DOUBLE), 4) AS p0, round(CAST(CAST(p1 AS FLOAT) AS DOUBLE), 4) AS p1 FROM mo",
+        ),
+        "georeferenced_files": sql(
+            [OPT], 'SELECT idx, 300000 + (col + 0.5::DOUBLE) * 0.25::DOUBLE AS x, 7500000 + ("row" + 0.5::DOUBLE) * -0.25::DOUBLE AS y, b1 AS v1, b3 AS v2 FROM opt'
+        ),
+        "class_map_files": sql([PAIRS], "SELECT doc_id, CASE y WHEN 0 THEN 10 WHEN 1 THEN 20 END AS dst FROM pairs"),
+        "polygon_files": sql(LABELLED[:-1], "SELECT idx FROM hit"),
         "distinct_classes": "SELECT count(DISTINCT quality) AS n_classes FROM labels",
         "valid_pixels": sql([PAIRS], "SELECT count(*) FILTER (WHERE y <> 255) AS n_valid, count(*) AS n_total FROM pairs"),
         "class_remap": sql([PAIRS], "SELECT doc_id, CASE y WHEN 0 THEN 10 WHEN 1 THEN 20 END AS dst FROM pairs"),

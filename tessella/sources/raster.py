@@ -7,10 +7,10 @@ A raster is a table with one row per pixel: ``idx`` (row-major, 64 bits), ``row`
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tessella.operators.vector import reproject_rings
 from tessella.params import Grid
 
 
@@ -65,35 +65,66 @@ def require_same_grid(a: Grid, b: Grid) -> None:
         raise ValueError(f"the rasters differ in size: {a} and {b}")
 
 
-_RING = T.ArrayType(T.ArrayType(T.DoubleType()))
-GEOJSON = T.StructType(
-    [
-        T.StructField(
-            "features",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField(
-                            "geometry",
-                            T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.ArrayType(_RING))]),
-                        )
-                    ]
-                )
-            ),
-        )
-    ]
-)
-
-
-def read_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """Rings (pid, ring, vertices) of the polygons of a GeoJSON file; a missing file raises."""
-    features = spark.read.schema(GEOJSON).option("multiLine", True).json(path)
-    shapes = features.select(F.posexplode("features").alias("pid", "f")).filter(F.col("f.geometry.type") == "Polygon")
-    rings = shapes.select(F.col("pid").cast("bigint").alias("pid"), F.posexplode("f.geometry.coordinates").alias("ring", "v"))
+_RINGS = "array<array<array<double>>>"
+#: Coordinates nest differently by type of geometry, so they are kept as text at first.
+GEOJSON = """crs struct<properties: struct<name: string>>,
+features array<struct<geometry: struct<type: string, coordinates: string>>>"""
+#: Of a file that names no system: longitude and latitude.
+DEFAULT_CRS = "EPSG:4326"
+
+
+def _geojson(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    return spark.read.schema(GEOJSON).option("multiLine", not lines).json(path).withColumn("file", F.input_file_name())
+
+
+def _system(name: Column) -> Column:
+    """EPSG:n of a system's name in short or URN form."""
+    code = F.regexp_extract(name, "EPSG:(?:[^:]*:)?([0-9]+)$", 1)
+    return F.when(name.isNull() | name.endswith("CRS84"), DEFAULT_CRS).when(code != "", F.concat(F.lit("EPSG:"), code)).otherwise(name)
+
+
+def polygons_system(spark: SparkSession, path: str, lines: bool = False) -> str:
+    """The coordinate system that the files at ``path`` name; files of several systems raise."""
+    found = [r["crs"] for r in _geojson(spark, path, lines).select(_system(F.col("crs.properties.name")).alias("crs")).distinct().limit(2).collect()]
+    if len(found) != 1:
+        raise ValueError(f"no single coordinate system: {', '.join(found) or 'no file'}")
+    return found[0]
+
+
+def read_polygons(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Rings (pid, ring, vertices) of the polygons of GeoJSON files, each part of a multi-polygon a polygon of its own.
+
+    ``lines``: a feature collection per line, as ``write_polygons`` leaves them. A missing
+    file raises; other types of geometry have no area and are left out.
+    """
+    named = _geojson(spark, path, lines).withColumn("file", F.concat_ws(":", "file", F.xxhash64("features")) if lines else F.col("file"))
+    shapes = named.select("file", F.posexplode("features").alias("nth", "f")).select("file", "nth", "f.geometry.*")
+    parts = F.when(F.col("type") == "Polygon", F.array(F.from_json("coordinates", _RINGS))).when(
+        F.col("type") == "MultiPolygon", F.from_json("coordinates", f"array<{_RINGS}>")
+    )
+    parts = shapes.select("file", "nth", F.posexplode(parts).alias("part", "rings"))
+    rings = parts.select(F.xxhash64("file", "nth", "part").alias("pid"), F.posexplode("rings").alias("ring", "v"))
     point = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
     return rings.select("pid", "ring", F.transform("v", point).alias("vertices"))
 
 
+def write_polygons(rings: DataFrame, path: str, system: str = DEFAULT_CRS) -> None:
+    """Polygons (pid, vertices) of one ring each as GeoJSON, a feature collection per line and about 4096 in all."""
+    closed = F.concat("vertices", F.slice("vertices", 1, 1))
+    pairs = F.transform(closed, lambda p: F.array(p["x"], p["y"]))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(pairs).alias("coordinates")).alias("geometry"))
+    crs = F.struct(F.lit("name").alias("type"), F.struct(F.lit(system).alias("name")).alias("properties"))
+    by_file = rings.groupBy(F.pmod(F.xxhash64("pid"), F.lit(4096)).alias("file")).agg(F.collect_list(feature).alias("features"))
+    whole = by_file.select(F.lit("FeatureCollection").alias("type"), crs.alias("crs"), "features")
+    whole.write.mode("overwrite").json(path)
+
+
+def polygons_on(spark: SparkSession, path: str, system: str, lines: bool = False) -> DataFrame:
+    """The polygons of ``path`` in the raster's system, reprojected where theirs is another."""
+    rings, own = read_polygons(spark, path, lines), polygons_system(spark, path, lines)
+    return rings if own == system else reproject_rings(rings, own, system)
+
+
 def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)

@@ -125,6 +125,39 @@ def test_hole_stays_open(spark, tmp_path):
         raster.read_polygons(spark, str(tmp_path / "none.json")).count()
 
 
+def test_parts_of_multi_polygons_and_named_systems(spark, tmp_path):
+    square = lambda x, y, n: f"[[[{x},{y}],[{x + n},{y}],[{x + n},{y + n}],[{x},{y + n}],[{x},{y}]]]"
+    file = lambda crs, *g: '{"type":"FeatureCollection",%s"features":[%s]}' % (crs, ",".join('{"geometry":{"type":"%s","coordinates":%s}}' % x for x in g))
+    both = ("MultiPolygon", f"[{square(0, 0, 3)},{square(5, 5, 2)}]")
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/1.json").write_text(file("", both, ("Polygon", square(0, 7, 2)), ("Point", "[1,1]")))
+    (tmp_path / "a/2.json").write_text(file("", ("Polygon", square(8, 0, 1))))
+    rings = raster.read_polygons(spark, str(tmp_path / "a"))
+    assert rings.select("pid").distinct().count() == 4
+    assert vector.burned(vector.edges(rings), Grid(10, 10)).count() == 9 + 4 + 4 + 1
+    assert raster.polygons_system(spark, str(tmp_path / "a")) == "EPSG:4326"
+    urn = '"crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:EPSG::3857"}},'
+    (tmp_path / "b.json").write_text(file(urn, ("Polygon", square(0, 0, 3))))
+    assert raster.polygons_system(spark, str(tmp_path / "b.json")) == "EPSG:3857"
+    moved = raster.polygons_on(spark, str(tmp_path / "b.json"), "EPSG:4326").first().vertices
+    assert 0 < moved[2]["x"] < 1e-4
+    with pytest.raises(ValueError):
+        raster.polygons_on(spark, str(tmp_path / "b.json"), "EPSG:32723")
+
+
+def test_best_model_is_kept(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 2))
+    rows = [(float(a), float(b), int(a + 0.3 * b > 0)) for a, b in x]
+    train, held = (spark.createDataFrame(r, "a double, b double, y int").cache() for r in (rows[:300], rows[300:]))
+    rule = Stopping(min_epochs=1, patience=2, min_delta=0.01)
+    best, log = model.fit_best(train, held, ["a", "b"], rule=rule, most=8)
+    losses = {r.epoch: r.val_loss for r in log.collect()}
+    end = earlystop.early_stop(log, "experiment", rule).first()
+    assert len(losses) <= 8 and model.validation_loss(best, held) == pytest.approx(losses[end.best_epoch])
+    assert losses[end.best_epoch] < losses[1]
+
+
 def test_projection_round_trip(spark):
     df = spark.createDataFrame([(-46.6, -23.5)], "x double, y double")
     x, y = vector.reproject(F.col("x"), F.col("y"), "EPSG:4326", "EPSG:3857")
