@@ -75,7 +75,7 @@ def character_classes(tokenizer) -> np.ndarray:
 class PieceMemo:
     """Ids (as little-endian uint32 bytes) and counts of texts."""
 
-    def __init__(self, path: str, memo_bytes: int = 96 << 20):
+    def __init__(self, path: str, memo_bytes: int = 40 << 20):
         self.tokenizer = load(path)
         spec = json.loads(self.tokenizer.to_str())
         self.endings = [e.encode() for e in contractions(spec)]
