@@ -2,10 +2,11 @@
 
 Rows with equal shingle sets form one group and are compared once. Each group's
 MinHash values make one label per tree; sorted labels are the tree's prefix trie.
-Prefixes start at full depth and are shortened in two ways: before the join, until
-the expected recall of a pair just at the threshold, 1 - (1 - s^depth)^trees,
-reaches the target; after it, as long as fewer of the links found (which clusters
-also give for pairs that share no prefix) share a prefix than the target asks.
+Prefixes start at full depth and are shortened tree by tree, the deepest first: while
+the expected recall of a pair just at the threshold, 1 - (1 - s^d1)(1 - s^d2)...,
+is below the target, and then while the recall measured on a query set is. The query
+set is QUERIES distinct texts of at most QUERY_BYTES bytes, of least hash; every row
+is compared with it exactly while it is signed, so its links don't depend on prefixes.
 Groups that share a prefix in a tree become candidates: each bucket links its
 members to its least one, and the components of these links are the clusters.
 
@@ -24,12 +25,13 @@ pass through ``keep_one``; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import shingles as sh
@@ -40,56 +42,87 @@ from tessella.llm.source_mix import row_key
 THRESHOLD = (4, 5)
 TREES, MAX_DEPTH = 16, 5
 RECALL = 0.9995
-#: What the links found have to show of it.
-MEASURED = 0.995
+#: Texts that recall is measured on, and the bytes of one: a bound of what each task holds of them.
+QUERIES, QUERY_BYTES = 256, 16 << 10
 CHUNK = 256
 
 
-def depth_for(recall: float = RECALL, trees: int = TREES, deepest: int = MAX_DEPTH, similarity: float = THRESHOLD[0] / THRESHOLD[1]) -> int:
-    """The longest prefix whose expected recall at the threshold reaches the target."""
-    depth = deepest
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def shortened(depths: list[int]) -> list[int]:
+    """The first of the longest prefixes without its last value."""
+    longest = depths.index(max(depths))
+    return [d - (i == longest) for i, d in enumerate(depths)]
 
 
-def _sign(trees: int, depth: int):
+def depths_for(recall: float = RECALL, trees: int = TREES, deepest: int = MAX_DEPTH, similarity: float = THRESHOLD[0] / THRESHOLD[1]) -> list[int]:
+    """The longest prefixes, one per tree, whose expected recall at the threshold reaches the target."""
+    depths = [deepest] * trees
+    while max(depths) > 1 and 1 - math.prod(1 - similarity**d for d in depths) < recall:
+        depths = shortened(depths)
+    return depths
+
+
+def query_texts(docs: DataFrame, most: int = QUERIES, size: int = QUERY_BYTES) -> list[bytes]:
+    """Distinct texts of at most ``size`` bytes, of least hash; at most ``most``."""
+    rows = docs.filter(F.octet_length("text").between(1, size)).select(F.xxhash64("text", F.lit(7)).alias("h"), F.col("text").cast("binary").alias("text"))
+    least = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(most).collect()]
+    if not least:
+        return []
+    return [bytes(r["text"]) for r in rows.filter(F.col("h") <= least[-1]).groupBy("h").agg(F.first("text").alias("text")).collect()]
+
+
+def _sign(trees: int, queries: list[bytes]):
+    distinct = {s.tobytes(): s for s in map(sh.shingle_set, queries) if len(s)}
+    sets = list(distinct.values())
+    values, owners = sh.merged(sets)
+    lengths = np.array([len(s) for s in sets], dtype=np.int64)
+    p, q = THRESHOLD
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = sh.hash_family(trees * depth)
+        family = sh.hash_family(trees * MAX_DEPTH)
+        marks = [sh.labels(s, family, trees, MAX_DEPTH) for s in sets]
         for b in batches:
-            keys, counts, rows = [], [], []
+            keys, counts, rows, met = [], [], [], []
             for text in b.column(2).to_pylist():
                 s = sh.shingle_set(text or b"")
                 counts.append(len(s))
                 keys.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
-                rows.append(sh.labels(s, family, trees, depth) if len(s) else None)
+                label = sh.labels(s, family, trees, MAX_DEPTH) if len(s) else None
+                rows.append(label)
+                both = sh.overlaps_with(s, values, owners, len(sets))
+                near = ((p + q) * both >= p * (len(s) + lengths)) & (both > 0) & ((both < len(s)) | (both < lengths))
+                met.append([sh.common_depths(label, marks[i], MAX_DEPTH) for i in np.flatnonzero(near)])
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(keys, pa.string()), pa.array(counts, pa.int64()), pa.array(rows, pa.list_(pa.int64()))],
-                names=["doc_id", "row_key", "set_key", "n_shingles", "labels"],
+                [b.column(0), b.column(1), pa.array(keys, pa.string()), pa.array(counts, pa.int64()), pa.array(rows, longs), pa.array(met, pa.list_(longs))],
+                names=["doc_id", "row_key", "set_key", "n_shingles", "labels", "met"],
             )
 
     return run
 
 
-def signatures(docs: DataFrame, depth: int, trees: int = TREES) -> DataFrame:
-    """One row per document: its shingle set's key and size, and its label in each tree."""
+def signatures(docs: DataFrame, queries: list[bytes], trees: int = TREES) -> DataFrame:
+    """One row per document: its shingle set's key and size, its label in each tree, and for each query that
+    it is near to without being equal, how many values they share in each tree."""
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_sign(trees, depth), "doc_id bigint, row_key string, set_key string, n_shingles bigint, labels array<bigint>")
+    schema = "doc_id bigint, row_key string, set_key string, n_shingles bigint, labels array<bigint>, met array<array<bigint>>"
+    return rows.mapInArrow(_sign(trees, queries), schema)
 
 
-def _prefix(label: Column, shorter: int) -> Column:
-    """A label without its last ``shorter`` values."""
-    return F.shiftright(label, sh.VALUE_BITS * shorter)
+def shown_recall(met: DataFrame, depths: list[int]) -> float:
+    """Share of the query set's links (column ``common``: values shared per tree) whose two ends share a prefix; 1 without links."""
+    hit = F.exists(F.zip_with("common", F.array(*[F.lit(d) for d in depths]), lambda n, d: n >= d), lambda x: x)
+    share = met.agg(F.avg(hit.cast("double"))).first()[0]
+    return 1.0 if share is None else share
 
 
-def candidate_clusters(groups: DataFrame, shorter: int = 0) -> DataFrame:
+def candidate_clusters(groups: DataFrame, depths: list[int]) -> DataFrame:
     """(node, root) over 64-bit hashes of set keys: groups joined by shared prefixes.
 
     Two keys with equal hashes would only share a cluster, and be verified apart.
     """
-    entries = groups.select(F.xxhash64("set_key").alias("node"), F.posexplode("labels").alias("tree", "label"))
-    entries = entries.withColumn("label", _prefix(F.col("label"), shorter))
+    prefixes = F.array(*[F.shiftright(F.col("labels")[i], sh.VALUE_BITS * (MAX_DEPTH - d)) for i, d in enumerate(depths)])
+    entries = groups.select(F.xxhash64("set_key").alias("node"), F.posexplode(prefixes).alias("tree", "label"))
     buckets = entries.groupBy("tree", "label").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
     edges = entries.join(buckets.drop("last"), ["tree", "label"]).filter("node <> first")
     return components(edges.select(F.col("node").alias("a"), F.col("first").alias("b")))
@@ -176,30 +209,19 @@ def verified(docs: DataFrame, groups: DataFrame, clusters: DataFrame, chunk: int
     return written(dealt.mapInArrow(_verify, "a string, b string, n bigint"), "links")
 
 
-def direct_recall(links: DataFrame, groups: DataFrame, shorter: int) -> float:
-    """Share of the verified links whose two ends share a prefix in some tree; 1 without links."""
-    edges = links.filter("b is not null").select("a", "b")
-    side = lambda k: groups.select(F.col("set_key").alias(k), F.col("labels").alias(f"{k}_labels"))
-    met = F.exists(F.zip_with("a_labels", "b_labels", lambda x, y: _prefix(x, shorter) == _prefix(y, shorter)), lambda hit: hit)
-    share = edges.join(side("a"), "a").join(side("b"), "b").agg(F.avg(met.cast("double"))).first()[0]
-    return 1.0 if share is None else share
-
-
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per document (doc_id, row_key, set_key); per set key (set_key, class_key, class_id, n_links, first)."""
-    depth = depth_for()
-    signed = written(signatures(docs, depth), "signatures")
+    signed = written(signatures(docs, query_texts(docs)), "signatures")
     # 'first' orders the documents of a group: least identifier, null last
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
-    groups = written(
-        signed.filter("n_shingles > 0").groupBy("set_key").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("first"), F.first("labels").alias("labels")),
-        "groups",
-    )
-    groups = groups.withColumn("row_key", F.col("first.row_key"))
-    for shorter in range(depth):
-        links = verified(docs, groups, written(candidate_clusters(groups, shorter), "clusters"))
-        if direct_recall(links, groups, shorter) >= MEASURED:
-            break
+    alike = [F.first(c).alias(c) for c in ("labels", "met")]
+    groups = signed.filter("n_shingles > 0").groupBy("set_key").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("first"), *alike)
+    groups = written(groups, "groups").withColumn("row_key", F.col("first.row_key"))
+    met = written(groups.select(F.explode("met").alias("common")), "query-links")
+    depths = depths_for()
+    while max(depths) > 1 and shown_recall(met, depths) < RECALL:
+        depths = shortened(depths)
+    links = verified(docs, groups, written(candidate_clusters(groups, depths), "clusters"))
     found = components(links.filter("b is not null").select("a", "b")).select(F.col("node").alias("set_key"), F.col("root").alias("class_key"))
     counts = links.filter("b is null").groupBy(F.col("a").alias("set_key")).agg(F.sum("n").alias("linked"))
     linked = groups.join(found, "set_key").join(counts, "set_key").select("set_key", "class_key", "linked", "first")

@@ -86,6 +86,28 @@ def labels(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray], trees: i
     return out.astype(np.int64)
 
 
+def merged(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All values of the sets in order, and the set of each."""
+    if not sets:
+        return np.empty(0, dtype=_U), np.empty(0, dtype=np.int64)
+    values, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    return values[order], owners[order]
+
+
+def overlaps_with(s: np.ndarray, values: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
+    """Sizes of the intersections of one set with the n sets that were merged."""
+    lo = np.searchsorted(values, s, "left")
+    width = np.searchsorted(values, s, "right") - lo
+    at = np.repeat(lo - (np.cumsum(width) - width), width) + np.arange(width.sum())
+    return np.bincount(owners[at], minlength=n)
+
+
+def common_depths(a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """How many first values two rows of labels share in each tree."""
+    return sum(((a ^ b) >> (VALUE_BITS * k) == 0).astype(np.int64) for k in range(depth))
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections of sorted distinct arrays."""
     n = len(sets)

@@ -203,11 +203,11 @@ def test_large_cluster_in_blocks(spark):
     rows = [(i, " ".join([*base[:i], f"new{i}", *base[i + 1 :]])) for i in range(60)] + [(100 + i, " ".join(base)) for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     links, _ = near_classes(rows)
-    signed = jaccard_join.signatures(docs, 4)
+    signed = jaccard_join.signatures(docs, [])
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     groups = signed.groupBy("set_key").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("first"), F.first("labels").alias("labels"))
     groups = groups.withColumn("row_key", F.col("first.row_key"))
-    clusters = jaccard_join.candidate_clusters(groups)
+    clusters = jaccard_join.candidate_clusters(groups, [4] * jaccard_join.TREES)
     assert clusters.select("root").distinct().count() == 1
     for chunk in (8, 1000):
         found = jaccard_join.verified(docs, groups, clusters, chunk).filter("b is null").groupBy("a").agg(F.sum("n").alias("n"))
@@ -216,20 +216,42 @@ def test_large_cluster_in_blocks(spark):
             assert r.n == (links[r.doc_id] if r.doc_id < 60 else links[60] - 4)
 
 
-def test_prefixes_shorten_until_links_show_the_recall(spark, monkeypatch):
+def test_prefixes_shorten_until_the_query_set_shows_the_recall(spark, monkeypatch):
     rows = odd_rows()
-    depths = []
-    usual = jaccard_join.candidate_clusters
-    monkeypatch.setattr(jaccard_join, "candidate_clusters", lambda groups, shorter=0: depths.append(shorter) or usual(groups, shorter))
-    monkeypatch.setattr(jaccard_join, "direct_recall", lambda links, groups, shorter: (0.2, 0.9, 1.0)[shorter])
+    tried = []
+    monkeypatch.setattr(jaccard_join, "shown_recall", lambda met, depths: tried.append(sum(depths)) or (0.2, 0.9, 1.0)[len(tried) - 1])
     links, _ = near_classes(rows)
     got = by_row(jaccard_join.link_documents(odd_docs(spark)).collect(), "doc_id", "n_links")
-    assert got == collections.Counter((r[0], links[i]) for i, r in enumerate(rows)) and depths == [0, 1, 2]
-
-
-def test_depth_reaches_recall():
-    assert jaccard_join.depth_for(0.9995, 16, 5, 0.8) == 4
-    assert jaccard_join.depth_for(0.9, 1, 5, 0.8) == 1
+    usual = sum(jaccard_join.depths_for())
+    assert got == collections.Counter((r[0], links[i]) for i, r in enumerate(rows)) and tried == [usual, usual - 1, usual - 2]
+
+
+def test_query_set_finds_its_links_without_prefixes(spark):
+    """The links of the query set, and the recall that depths give on them, equal brute force."""
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join([*base[:i], f"new{i}", *base[i + 1 :]])) for i in range(0, 80, 2)] + [(100, " ".join(base)), (101, " ".join(base))]
+    rows += [(200, None), (201, ""), (202, "x " * 20_000), (203, "far " + " ".join(f"v{i}" for i in range(50)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    queries = jaccard_join.query_texts(docs)
+    assert sorted(queries) == sorted({t.encode() for _, t in rows if t and len(t) <= jaccard_join.QUERY_BYTES})
+    assert len(jaccard_join.query_texts(docs, 5)) == 5 and jaccard_join.query_texts(docs.limit(0)) == []
+    got = {r.doc_id: r for r in jaccard_join.signatures(docs, queries).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    labels = {frozenset(sets[i]): got[i].labels for i in got if sets[i]}
+    for i, r in got.items():
+        near = [s for s in {frozenset(shingles(q.decode())) for q in queries} if s != sets[i] and 5 * len(s & sets[i]) >= 4 * len(s | sets[i]) > 0]
+        shared = sorted([sum(a >> 12 * k == b >> 12 * k for k in range(jaccard_join.MAX_DEPTH)) for a, b in zip(r.labels, labels[s])] for s in near)
+        assert sorted(r.met) == shared
+    met = spark.createDataFrame([([c for c in m],) for r in got.values() for m in r.met], "common array<bigint>")
+    for d in (2, 5):
+        hits = [any(n >= d for n in m) for r in got.values() for m in r.met]
+        assert abs(jaccard_join.shown_recall(met, [d] * jaccard_join.TREES) - sum(hits) / len(hits)) < 1e-9
+    assert jaccard_join.shown_recall(met.limit(0), [5] * jaccard_join.TREES) == 1.0
+
+
+def test_depths_reach_recall():
+    assert jaccard_join.depths_for(0.9995, 16, 5, 0.8) == [4] * 10 + [5] * 6
+    assert jaccard_join.depths_for(0.9, 1, 5, 0.8) == [1]
 
 
 def test_components(spark):
