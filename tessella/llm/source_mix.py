@@ -1,8 +1,9 @@
 """Operator 2: mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Each document draws a reproducible uniform u from a hash of its identifier and text
-(so that rows without an identifier spread) and gets the key -ln(u) / quality weight; small keys come first. A source's target is
-filled by complete epochs of all its documents, then by the documents in key
+Each document draws a reproducible uniform u from a hash of its identifier and text,
+and of its number among the rows equal in these (so that rows without an identifier
+and repeated rows spread; equal rows are counted and dealt out again, never sorted), and
+gets the key -ln(u) / quality weight; small keys come first. A source's target is filled by complete epochs of all its documents, then by the documents in key
 order while their running size stays within the rest. Where more than SLACK of a
 target is still open (few, long documents), up to ROUNDS further passes take those
 that fit, in key order. Last, each source takes the one document more whose size is
@@ -27,6 +28,8 @@ from pyspark.sql.window import Window
 from tessella.llm.common import WORD, free_name, written
 
 BUCKET_ROWS = 2_048
+#: Equal rows that one task deals out.
+COPIES = 4_096
 SLACK, ROUNDS = 0.001, 3
 SEED = "mix"
 
@@ -62,6 +65,16 @@ def targets(sources: DataFrame, weights: tuple[int, ...], cap: int, share: float
     return s.withColumn("target", F.least("cap", F.col("weight") * F.max("level").over(all_rows))).select("source", "source_size", "n_docs", "target")
 
 
+def _dealt(rows: DataFrame, most: int) -> DataFrame:
+    """Each row with ``copy`` numbering it among its equals from 0; many equals are dealt out by several tasks."""
+    same = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n_same"))
+    some = same.filter(F.col("n_same") <= most).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_same") - 1)))
+    parts = same.filter(F.col("n_same") > most).withColumn("part", F.explode(F.expr(f"sequence(0L, (n_same - 1) div {most})")))
+    first, last = F.col("part") * most, F.least((F.col("part") + 1) * most, F.col("n_same")) - 1
+    many = parts.repartition(*rows.columns, "part").withColumn("copy", F.explode(F.sequence(first, last)))
+    return some.drop("n_same").unionByName(many.drop("n_same", "part"))
+
+
 def plan_mix(
     docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, share: float = 1.0, seed: str = SEED
 ) -> DataFrame:
@@ -76,12 +89,14 @@ def plan_mix(
         F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5("text")).alias("named"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
     )
+    sized = _dealt(sized, COPIES)
     if quality is not None:
         best = quality.groupBy("doc_id").agg(F.greatest(F.max("weight"), F.lit(1.0)).alias("weight"))
         sized = sized.join(best, "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     else:
         sized = sized.withColumn("weight", F.lit(1.0))
-    keyed = sized.withColumn("key", -F.log(uniform(seed, F.col("named"))) / F.col("weight")).drop("named")
+    named = F.when(F.col("copy") == 0, F.col("named")).otherwise(F.concat_ws(":", "named", "copy"))
+    keyed = sized.withColumn("key", -F.log(uniform(seed, named)) / F.col("weight")).drop("named", "copy")
     keyed = written(keyed.withColumn("group", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source"))), "mix-keys")
 
     sources = keyed.groupBy("group").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))

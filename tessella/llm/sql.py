@@ -43,9 +43,10 @@ _ROUNDS = "\n".join(_round(k) for k in (1, 2, 3))
 
 MIX = f"""
 WITH q AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
-d AS (SELECT d.doc_id, d.source, d.text, CAST(len({words("coalesce(text, '')")}) AS BIGINT) AS size, CASE WHEN q.doc_id IS NULL THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w
+d AS (SELECT d.doc_id, d.source, d.text, CAST(len({words("coalesce(text, '')")}) AS BIGINT) AS size, CASE WHEN q.doc_id IS NULL THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w,
+  row_number() OVER (PARTITION BY d.doc_id, d.source, d.text) AS nth
   FROM documents d LEFT JOIN q ON d.doc_id = q.doc_id),
-k AS (SELECT *, -ln((CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || coalesce(':' || md5(text), '')), 1, 13) AS BIGINT) + 1.0::DOUBLE) / 4503599627370496.0::DOUBLE) / w AS key FROM d),
+k AS (SELECT *, -ln((CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || coalesce(':' || md5(text), '') || CASE WHEN nth > 1 THEN ':' || CAST(nth - 1 AS VARCHAR) ELSE '' END), 1, 13) AS BIGINT) + 1.0::DOUBLE) / 4503599627370496.0::DOUBLE) / w AS key FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM d GROUP BY 1),
 a AS (SELECT *, CASE (nth - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS wt, CAST(3 * source_size AS DOUBLE) AS cap FROM s),
 l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - (sum(cap) OVER o - cap)) / CAST(sum(wt) OVER () - sum(wt) OVER o + wt AS DOUBLE) AS level

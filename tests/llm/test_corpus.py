@@ -107,6 +107,19 @@ def test_mix(spark):
     assert source_mix.plan_mix(no_docs(spark)).count() == 0
 
 
+def test_a_row_on_a_third_of_the_mix_spreads(spark, monkeypatch):
+    monkeypatch.setattr(source_mix, "COPIES", 100)
+    monkeypatch.setattr(source_mix, "BUCKET_ROWS", 50)
+    other = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") < 1000, "x").otherwise("y").alias("source"))
+    same = spark.range(1050).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("x").alias("source"))
+    plan = source_mix.plan_mix(other.unionByName(same), weights=(1,), share=0.5)
+    n = {(r.none, r.copies): r.n for r in plan.groupBy(F.col("doc_id").isNull().alias("none"), "copies").agg(F.count("*").alias("n")).collect()}
+    assert n[True, 0] + n[True, 1] == 1050 and n[False, 0] + n[False, 1] == 2000
+    # half of all words in equal parts from x (2,050 rows) and y (1,000): 762 documents each, those of x alike from both kinds
+    taken_x = n[True, 1] / 1050
+    assert abs(taken_x - 762 / 2050) < 0.06 and n[True, 1] + n[False, 1] == 1524
+
+
 def test_heavier_documents_come_first(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") < 2000, "x").otherwise("y").alias("source"))
     good = docs.filter("doc_id % 2 = 0").select("doc_id", F.lit(2.0).alias("weight"))
