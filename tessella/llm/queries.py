@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import audio_match, jaccard_join, line_dedup, quality_cascade, reshard, source_mix, sql, surrogates
+from tessella.llm import audio_match, byte_codec, conversation_repair, jaccard_join, line_dedup, quality_cascade, reshard, source_mix, spelling, sql, surrogates
 from tessella.llm.common import table
 from tessella.llm.piece_codec import encode_decode
 from tessella.llm.sst_shards import tokens_to_shards
@@ -17,6 +17,7 @@ from tessella.llm.token_counts import count_tokens
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +83,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")), "copies")
+
+
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"), slips=97)
+
+
+def op13_byte_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -94,6 +107,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_shards": op8_token_shards,
         "op9_audio_match": op9_audio_match,
         "op10_line_dedup": op10_line_dedup,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_spelling_groups": op12_spelling_groups,
+        "op13_byte_pieces": op13_byte_pieces,
     }
 
 

@@ -321,7 +321,7 @@ def test_one_edit():
 def test_shuffled_survivors(spark, monkeypatch):
     docs = odd_docs(spark).filter("doc_id is null or doc_id <> 3")
     usual = by_row(line_dedup.line_report(docs).collect(), "doc_id", "text")
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
     assert by_row(line_dedup.line_report(docs).collect(), "doc_id", "text") == usual
 
 
