@@ -8,6 +8,10 @@ from pyspark.sql.window import Window
 
 from tessella.functions.scalar import ceil_cents, clip, min_max, no_nan
 from tessella.params import Clipping
+from tessella.sources.scratch import kept
+
+#: Groups of neighbouring bins that a histogram is counted in before it is refined.
+COARSE = 1024
 
 
 def long_bands(pixels: DataFrame, bands: list[str], mask: Column | None = None) -> DataFrame:
@@ -29,18 +33,54 @@ def histogram(long: DataFrame, bins: int) -> DataFrame:
     return rows.withColumn("bin", placed.cast("bigint")).groupBy("band", "bin", "mn", "mx").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _extremes_row(pixels: DataFrame, bands: list[str]) -> DataFrame:
+    """One row with a struct mn, mx per band: all bands in one aggregation."""
+    of = lambda b: F.struct(F.min(no_nan(F.col(b))).alias("mn"), F.max(no_nan(F.col(b))).alias("mx")).alias(b)
+    return pixels.agg(F.struct(*[of(b) for b in bands]).alias("ends__"))
+
+
+def _bins(pixels: DataFrame, ends: DataFrame, bands: list[str], bins: int) -> DataFrame:
+    """(band, bin) of every pixel and band, by the extremes of one row."""
+    pairs = []
+    for b in bands:
+        x, e = no_nan(F.col(b)), F.col("ends__")[b]
+        placed = F.when(e["mx"] > e["mn"], F.least(F.lit(bins - 1), F.floor((x - e["mn"]) / (e["mx"] - e["mn"]) * bins))).otherwise(F.lit(0))
+        pairs.append(F.struct(F.lit(b).alias("band"), placed.cast("bigint").alias("bin")))
+    return pixels.crossJoin(F.broadcast(ends)).select(F.inline(F.array(*pairs)))
+
+
 def thresholds(pixels: DataFrame, bands: list[str], how: Clipping = Clipping(), mask: Column | None = None) -> DataFrame:
     """(band, lo, hi, mn, mx): left edges of the bins where the cumulative share reaches the limits, rounded up to cents.
 
-    At most ``bins`` counts per band are ordered, whatever the raster's size.
+    By refinement: bins are counted in about COARSE groups of neighbours, and only the two
+    groups that hold a limit are counted bin by bin. So at most 3 * COARSE counts a
+    band are shuffled by a task, whatever the number of bins. Three passes over the
+    pixels: extremes, groups, bins.
     """
-    counts = histogram(long_bands(pixels, bands, mask), how.bins)
-    order = Window.partitionBy("band").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    share = F.sum("n").over(order) / F.sum("n").over(Window.partitionBy("band"))
-    edge = F.col("mn") + F.col("bin") * (F.col("mx") - F.col("mn")) / how.bins
-    ranked = counts.withColumns({"share": share, "edge": edge})
-    at = lambda p: ceil_cents(F.min(F.when(F.col("share") >= p, F.col("edge"))))
-    return ranked.groupBy("band", "mn", "mx").agg(at(how.lower).alias("lo"), at(how.upper).alias("hi")).select("band", "lo", "hi", "mn", "mx")
+    rows = pixels if mask is None else pixels.filter(mask != 2)
+    ends = _extremes_row(rows, bands)
+    placed = _bins(rows, ends, bands, how.bins)
+    width = -(-how.bins // COARSE)
+    group = F.floor(F.col("bin") / width).alias("group")
+    counts = placed.groupBy("band", group).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("band").orderBy("group").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumns({"reach": F.sum("n").over(order), "total": F.sum("n").over(Window.partitionBy("band"))})
+    limits = (("lower", how.lower), ("upper", how.upper))
+    first = lambda p: F.min(F.when(F.col("reach") / F.col("total") >= p, F.struct("group", (F.col("reach") - F.col("n")).alias("before"))))
+    held = counts.groupBy("band").agg(F.first("total").alias("total"), *[first(p).alias(n) for n, p in limits])
+    held = kept(held, "threshold-groups")  # a row per band
+
+    at = lambda n: F.col(f"{n}.group")
+    near = placed.join(F.broadcast(held), "band").filter((F.floor(F.col("bin") / width) == at("lower")) | (F.floor(F.col("bin") / width) == at("upper")))
+    fine = near.groupBy("band", "bin").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(held), "band")
+    of_group = Window.partitionBy("band", F.floor(F.col("bin") / width)).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fine = fine.withColumn("running", F.sum("n").over(of_group))
+    bin_of = lambda n, p: F.min(F.when((F.floor(F.col("bin") / width) == at(n)) & ((F.col(f"{n}.before") + F.col("running")) / F.col("total") >= p), F.col("bin")))
+    found = fine.groupBy("band").agg(*[bin_of(n, p).alias(n) for n, p in limits])
+    spans = ends.select(F.inline(F.array(*[F.struct(F.lit(b).alias("band"), F.col("ends__")[b]["mn"].alias("mn"), F.col("ends__")[b]["mx"].alias("mx")) for b in bands])))
+    found = found.join(F.broadcast(spans), "band")
+    edge = lambda n: ceil_cents(F.col("mn") + F.col(n) * (F.col("mx") - F.col("mn")) / how.bins)
+    return found.select("band", edge("lower").alias("lo"), edge("upper").alias("hi"), "mn", "mx")
 
 
 def clip_normalise(pixels: DataFrame, bands: list[str], how: Clipping = Clipping(), mask: Column | None = None, prefix: str = "n_") -> DataFrame:
@@ -52,6 +92,7 @@ def clip_normalise(pixels: DataFrame, bands: list[str], how: Clipping = Clipping
     stats = thresholds(pixels, bands, how, mask)
     if mask is not None:
         stats = stats.drop("mn", "mx").join(extremes(long_bands(pixels, bands)), "band")
+    stats = kept(stats, "thresholds")  # a row per band
     row = stats.agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("lo", "hi", "mn", "mx")))).alias("stats"))  # one row
     out = pixels.crossJoin(F.broadcast(row))
     for b in bands:

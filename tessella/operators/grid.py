@@ -6,6 +6,8 @@ and column, and the rows for them are generated where they are needed.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,24 +63,20 @@ def window_pixels(windows: DataFrame, grid: Grid, w: Windows) -> DataFrame:
 def window_fraction(pixels: DataFrame, positive: Column, grid: Grid, w: Windows) -> DataFrame:
     """(wid, wr, wc, frac): share of positive pixels in each window.
 
-    Where the step divides the size, pixels are summed to blocks of one step first and
-    only blocks are dealt to windows: (size / step)^2 rows per block, not per pixel.
+    Pixels are summed to blocks of the largest side that divides size and step. Blocks
+    are dealt to the columns of windows first and summed, and only then to their
+    rows: size / step rows per block and sum, not its square, and no pixel is
+    repeated unless size and step have no common divisor.
     """
-    n_rows, n_cols = w.count(grid.height), w.count(grid.width)
-    hit = positive.cast("int")
-    if w.size % w.step:
-        per = explode_windows(pixels.select("row", "col", hit.alias("hit")), grid, w)
-        sums = per.groupBy("wid", "wr", "wc").agg(F.sum("hit").alias("hits"))
-    else:
-        k = w.size // w.step
-        blocks = pixels.select(F.floor(F.col("row") / w.step).alias("br"), F.floor(F.col("col") / w.step).alias("bc"), hit.alias("hit"))
-        blocks = blocks.groupBy("br", "bc").agg(F.sum("hit").alias("hit"))
-        for name, block, n in (("wr", "br", n_rows), ("wc", "bc", n_cols)):
-            first = F.greatest(F.lit(0).cast("bigint"), F.col(block) - (k - 1))
-            last = F.least(F.col(block), F.lit(n - 1).cast("bigint"))
-            blocks = blocks.withColumn(name, F.explode(F.when(last >= first, F.sequence(first, last))))
-        sums = blocks.groupBy("wr", "wc").agg(F.sum("hit").alias("hits")).withColumn("wid", F.col("wr") * n_cols + F.col("wc"))
-    return sums.select("wid", "wr", "wc", (F.col("hits") / float(w.size * w.size)).alias("frac"))
+    side = math.gcd(w.size, w.step)
+    blocks = pixels.select(F.floor(F.col("row") / side).alias("br"), F.floor(F.col("col") / side).alias("bc"), positive.cast("int").alias("hit"))
+    blocks = blocks.groupBy("br", "bc").agg(F.sum("hit").alias("hit"))
+    per = Windows(w.size // side, w.step // side)
+    w.count(grid.height)  # raises for a raster shorter than a window
+    strips = blocks.withColumn("wc", F.explode(covering(F.col("bc"), per, grid.width // side))).groupBy("br", "wc").agg(F.sum("hit").alias("hit"))
+    sums = strips.withColumn("wr", F.explode(covering(F.col("br"), per, grid.height // side))).groupBy("wr", "wc").agg(F.sum("hit").alias("hits"))
+    wid = F.col("wr") * w.count(grid.width) + F.col("wc")
+    return sums.select(wid.alias("wid"), "wr", "wc", (F.col("hits") / float(w.size * w.size)).alias("frac"))
 
 
 def reflect_pad(pixels: DataFrame, grid: Grid, pad: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.operators.grid import window_pixels
+from tessella.operators.vector import covered, united
 from tessella.params import IGNORE, Grid, Split, Windows
 
 
@@ -50,14 +50,19 @@ def counts(windows: DataFrame) -> DataFrame:
 
 
 def test_label(label: DataFrame, test_windows: DataFrame, grid: Grid, w: Windows) -> DataFrame:
-    """Pixels in any test window keep their label, all others get the ignored one."""
-    row0, col0 = F.col("wr") * w.step, F.col("wc") * w.step
-    covered = window_pixels(test_windows.select("wid", "wr", "wc", row0.alias("row0"), col0.alias("col0")), grid, w)
-    covered = covered.select("idx").distinct().withColumn("hit", F.lit(True))
-    return label.join(covered, "idx", "left").select("idx", F.when(F.col("hit"), F.col("y")).otherwise(IGNORE).alias("y"))
+    """Pixels in any test window keep their label, all others get the ignored one. Windows are runs of pixels, one per row, and runs are united."""
+    side = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(w.size - 1).cast("bigint")))
+    runs = test_windows.select((F.col("wr") * w.step).alias("row0"), (F.col("wc") * w.step).alias("lo"), side.alias("r"))
+    runs = runs.select((F.col("row0") + F.col("r")).alias("row"), "lo", (F.col("lo") + (w.size - 1)).alias("hi"))
+    hit = covered(label.select("idx", "y"), united(runs), grid, "hit")
+    return hit.select("idx", F.when(F.col("hit"), F.col("y")).otherwise(IGNORE).alias("y"))
+
+
+def batched(ranked_windows: DataFrame, batch_size: int) -> DataFrame:
+    """Adds ``batch`` to windows with a rank; the last batch may be short."""
+    return ranked_windows.withColumn("batch", F.floor((F.col("rank") - 1) / batch_size))
 
 
 def shuffled_batches(windows: DataFrame, seed: int, epoch: int, batch_size: int) -> DataFrame:
-    """Adds ``rank`` and ``batch`` in an order of its own for each epoch; the last batch may be short."""
-    out = ranked(windows, shuffle_key(f"{seed}:{epoch}", F.col("wid"))).drop("total")
-    return out.withColumn("batch", F.floor((F.col("rank") - 1) / batch_size))
+    """Adds ``rank`` and ``batch`` in an order of its own for each epoch."""
+    return batched(ranked(windows, shuffle_key(f"{seed}:{epoch}", F.col("wid"))).drop("total"), batch_size)

@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from tessella.params import Grid
 
+#: Columns of a strip in which runs are united and met by pixels.
+STRIP = 1024
 _EARTH = 6378137.0
 _KNOWN = {("EPSG:4326", "EPSG:3857"), ("EPSG:3857", "EPSG:4326")}
 
@@ -51,11 +53,11 @@ def _edge_pixel(v: Column) -> Column:
     return F.ceil(v - 0.5)
 
 
-def burned(edge_table: DataFrame, grid: Grid) -> DataFrame:
-    """idx of the pixels whose centre lies in a polygon (even-odd), each once; parts off the grid are cut.
+def crossing_spans(edge_table: DataFrame, grid: Grid) -> DataFrame:
+    """(row, lo, hi): the runs of pixels whose centre lies in a polygon (even-odd); runs of several polygons may overlap, parts off the grid are cut.
 
     By scan lines: each side gives its crossing with every pixel row that it spans, the
-    crossings of a polygon and row pair up in order, and each pair gives its columns.
+    crossings of a polygon and row pair up in order, and each pair gives a run.
     """
     y1, y2 = F.col("y1"), F.col("y2")
     top = F.greatest(_edge_pixel(F.least(y1, y2)), F.lit(0).cast("bigint"))
@@ -66,11 +68,43 @@ def burned(edge_table: DataFrame, grid: Grid) -> DataFrame:
     spans = lines.select("pid", "row", x.alias("x")).withColumns({"nth": F.row_number().over(order), "end": F.lead("x").over(order)})
     left = F.greatest(_edge_pixel(F.col("x")), F.lit(0).cast("bigint"))
     right = F.least(_edge_pixel(F.col("end")) - 1, F.lit(grid.width - 1).cast("bigint"))
-    cells = spans.filter(F.col("nth") % 2 == 1).withColumn("col", F.explode(F.when(right >= left, F.sequence(left, right))))
-    return cells.select((F.col("row") * grid.width + F.col("col")).alias("idx")).distinct()
+    return spans.filter(F.col("nth") % 2 == 1).select("row", left.alias("lo"), right.alias("hi")).filter("hi >= lo")
+
+
+def united(spans: DataFrame) -> DataFrame:
+    """(row, tile, lo, hi): the same pixels as disjoint runs, cut at every STRIP columns.
+
+    A sweep over the runs of a strip of a row: a run that begins beyond all before it opens
+    a new one. The shuffle has a row per run and strip, so it grows with the outlines.
+    """
+    first, last = F.floor(F.col("lo") / STRIP), F.floor(F.col("hi") / STRIP)
+    cut = spans.withColumn("tile", F.explode(F.sequence(first, last)))
+    cut = cut.select("row", "tile", F.greatest("lo", F.col("tile") * STRIP).alias("lo"), F.least("hi", (F.col("tile") + 1) * STRIP - 1).alias("hi"))
+    cut = cut.groupBy("row", "tile", "lo").agg(F.max("hi").alias("hi"))
+    order = Window.partitionBy("row", "tile").orderBy("lo")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    swept = cut.withColumn("opens", (reach.isNull() | (F.col("lo") > reach + 1)).cast("int"))
+    swept = swept.withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return swept.groupBy("row", "tile", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
+
+
+def covered(pixels: DataFrame, runs: DataFrame, grid: Grid, name: str) -> DataFrame:
+    """Adds ``name``: true where a run of ``united`` covers the pixel (idx), else null. A range join by row and strip; runs are disjoint, so no pixel is doubled."""
+    row, col = F.floor(F.col("idx") / grid.width), F.pmod(F.col("idx"), F.lit(grid.width))
+    spots = pixels.withColumns({"row__": row, "col__": col, "tile__": F.floor(col / STRIP)})
+    runs = runs.select(F.col("row").alias("row__"), F.col("tile").alias("tile__"), "lo", "hi")
+    same = (spots["row__"] == runs["row__"]) & (spots["tile__"] == runs["tile__"]) & spots["col__"].between(runs["lo"], runs["hi"])
+    out = spots.join(runs, same, "left")
+    return out.select(*[spots[c] for c in pixels.columns], F.when(runs["lo"].isNotNull(), True).alias(name))
+
+
+def burned(edge_table: DataFrame, grid: Grid) -> DataFrame:
+    """idx of the pixels whose centre lies in a polygon, each once."""
+    runs = united(crossing_spans(edge_table, grid))
+    return runs.withColumn("col", F.explode(F.sequence("lo", "hi"))).select((F.col("row") * grid.width + F.col("col")).alias("idx"))
 
 
 def rasterize(pixels: DataFrame, edge_table: DataFrame, grid: Grid, burn: int = 1, fill: int = 0) -> DataFrame:
     """All pixels with ``y``: burn inside polygons, fill elsewhere."""
-    hit = burned(edge_table, grid).withColumn("hit", F.lit(True))
-    return pixels.join(hit, "idx", "left").withColumn("y", F.when(F.col("hit"), burn).otherwise(fill)).drop("hit")
+    hit = covered(pixels, united(crossing_spans(edge_table, grid)), grid, "hit__")
+    return hit.withColumn("y", F.when(F.col("hit__"), burn).otherwise(fill)).drop("hit__")

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import scalar
-from tessella.operators import augment, clean, earlystop, focal, grid, metrics, model, mosaic, split, vector
-from tessella.params import Clipping, Experiment, Grid, Split, Training, Windows
+from tessella.operators import augment, clean, earlystop, focal, grid, metrics, model, mosaic, patches, split, training, vector
+from tessella.params import Clipping, Experiment, Grid, Split, Stopping, Training, Windows
 from tessella.sources import fixtures as fx
 from tessella.sources import raster
 from tessella.sources.scratch import folder, kept
@@ -202,7 +202,7 @@ def polygon_files(spark, sf):
     """Polygons written as GeoJSON, read back and burned."""
     path, g = folder(spark, "polygons"), fx.grid(spark, sf)
     raster.write_polygons(fx.rings(spark, sf, g), path, "EPSG:3857")
-    return vector.burned(vector.edges(raster.polygons_on(spark, path, "EPSG:3857", lines=True)), g)
+    return vector.burned(vector.edges(raster.polygons_on(spark, path, "EPSG:3857")), g)
 
 
 # -- cleaning
@@ -216,7 +216,7 @@ def band_histogram(spark, sf):
 
 @query
 def clip_thresholds(spark, sf):
-    px = fx.aligned(spark, sf).withColumn("flat", F.lit(0.123))
+    px = kept(fx.aligned(spark, sf), "aligned").withColumn("flat", F.lit(0.123))  # three passes read it
     return clean.thresholds(px, [*fx.BANDS, "flat"]).select("band", "lo", "hi")
 
 
@@ -365,7 +365,7 @@ def first_batch_sample(spark, sf):
 @query
 def window_transform(spark, sf):
     upside = lambda chip: chip[:, ::-1, :]
-    return model.transform_windows(_gathered(spark, sf), ["b0"], W16.size, upside)
+    return patches.transform_windows(_gathered(spark, sf), ["b0"], W16.size, upside)
 
 
 # -- prediction
@@ -415,6 +415,30 @@ def score_windows(spark, sf):
     return _rounded(model.score_batches(_normal(spark, sf), names, scorer, ["idx"]), ["p0", "p1"])
 
 
+def _mean3x3(x: np.ndarray) -> np.ndarray:
+    """(windows, 2, size, size): each pixel's mean over its neighbours inside the patch as the second score."""
+    p = np.pad(x[:, 0], ((0, 0), (1, 1), (1, 1)))
+    ones = np.pad(np.ones(x.shape[2:]), 1)
+    h, w = x.shape[2:]
+    parts = [(p[:, i : i + h, j : j + w], ones[i : i + h, j : j + w]) for i in range(3) for j in range(3)]
+    mean = sum(a for a, _ in parts) / sum(n for _, n in parts) / 599_999  # no multiple of it is a round number, so no vote lies halfway between two rounded ones
+    return np.stack((1 - mean, mean), axis=1)
+
+
+@query
+def patch_mosaic(spark, sf):
+    """A scorer that looks at neighbours, over whole patches of the padded raster at three overlaps."""
+    out = patches.patch_mosaic(fx.optical(spark, sf), fx.grid(spark, sf), ["b0"], 16, OVERLAPS, _mean3x3)
+    return _rounded(out.select("idx", "p0", "p1"), ["p0", "p1"])
+
+
+@query
+def patch_mosaic_truncate(spark, sf):
+    """Votes cut to whole numbers: here the rare mean above the scale's end counts one."""
+    out = patches.patch_mosaic(fx.optical(spark, sf), fx.grid(spark, sf), ["b0"], 16, OVERLAPS, lambda x: 2 * _mean3x3(x), vote="truncate")
+    return _rounded(out.select("idx", "p0", "p1"), ["p0", "p1"])
+
+
 @query
 def early_fusion(spark, sf):
     both = focal.stack(fx.optical(spark, sf), raster.with_optional(fx.optical(spark, sf).select("idx"), fx.lidar(spark, sf), ["l0", "l1"]), ["b0", "b1"], ["l0", "l1"])
@@ -466,6 +490,29 @@ def train_weighted_lr(spark, sf):
     return out
 
 
+#: Three epochs of two updates each; the fold counts from the second epoch.
+LOOP, LOOP_STOP, LOOP_ROUNDS = Training(learning_rate=2.0, gamma=0.9, max_epochs=3), Stopping(min_epochs=1, patience=2, min_delta=1e-4), 2
+
+
+def _pixel_windows(spark, sf) -> DataFrame:
+    """Scaled pixels and labels of the training and validation windows: wid, split, y, n_b0, ..."""
+    _, windows, g = _split(spark, sf)
+    corners = windows.filter(F.col("split") != "test").select("wid", "split", (F.col("wr") * W16.step).alias("row0"), (F.col("wc") * W16.step).alias("col0"))
+    px = fx.labelled(spark, sf, _normal(spark, sf), g)
+    return grid.window_pixels(corners, g, W16).join(px.select("idx", "y", *[f"n_{b}" for b in fx.BANDS]), "idx")
+
+
+@query
+def train_epochs(spark, sf):
+    """The training loop: a row per epoch, with the best epoch and its weights."""
+    rows = kept(_pixel_windows(spark, sf), "loop-pixels")
+    bands = [f"n_{b}" for b in fx.BANDS]
+    done = training.train_epochs(rows.filter("split = 'train'"), rows.filter("split = 'val'"), bands, LOOP, LOOP_STOP, 42, LOOP_ROUNDS)
+    weights = [F.lit(w).alias(f"w{j}") for j, w in enumerate(done.model.weights[1])]
+    out = done.log.select("*", F.lit(done.best_epoch).cast("bigint").alias("best_epoch"), *weights, F.lit(done.model.bias[1]).alias("bias"))
+    return _rounded(out, [c for c in out.columns if c not in ("epoch", "best_epoch")])
+
+
 # -- training logs
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.plans.catalog import BIAS, KERNEL, WEIGHTS
+from tessella.plans.catalog import BIAS, KERNEL, LOOP, LOOP_ROUNDS, LOOP_STOP, WEIGHTS
 from tessella.sources.fixtures import BANDS
 
 OPT = """opt AS (SELECT o_orderkey AS idx, o_orderkey // 50 AS "row", o_orderkey % 50 AS col, CAST(o_totalprice AS DOUBLE) AS b0,
@@ -108,6 +108,68 @@ o1 AS (SELECT s, idx, avg({zero}) AS p0, avg({value}) AS p1 FROM vt GROUP BY 1,
 mo AS (SELECT idx, round(avg(p0), 6) AS p0, round(avg(p1), 6) AS p1 FROM o1 GROUP BY 1)"""
 
 
+def patch_votes(score: str) -> list[str]:
+    """The windows of ``votes``; a pixel's vote in a window is the mean of its neighbours inside that window."""
+    places = votes("prob").split("vt AS")[0].rstrip().rstrip(",")
+    spot = 'v.{0} + 16 + d.{1} >= v.{2} * v.s AND v.{0} + 16 + d.{1} < v.{2} * v.s + 16'
+    return [
+        places,
+        'vt AS (SELECT s, idx, "row" AS r, col AS c, wr, wc FROM opt JOIN rm USING ("row") JOIN cm USING (s, col))',
+        "d AS (SELECT i, j FROM (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j))",
+        f"""nb AS (SELECT v.s, v.idx, v.wr, v.wc, {mirrored("v.r + d.i", "h")} AS "row", {mirrored("v.c + d.j", "50")} AS col
+ FROM vt v, d, g WHERE {spot.format("r", "i", "wr")} AND {spot.format("c", "j", "wc")})""",
+        'wv AS (SELECT s, nb.idx, wr, wc, avg(b0) / 599999 AS m FROM nb JOIN opt USING ("row", col) GROUP BY ALL)',
+        f"o1 AS (SELECT s, idx, avg({score.format('(1 - m)')}) AS p0, avg({score.format('m')}) AS p1 FROM wv GROUP BY 1, 2)",
+        "mo AS (SELECT idx, round(avg(p0), 6) AS p0, round(avg(p1), 6) AS p1 FROM o1 GROUP BY 1)",
+    ]
+
+
+def training_loop() -> str:
+    """Both classes' weights start at 0 and move by opposite steps, so one vector u = W1 = -W0 says all; the margin is 2 u x."""
+    n, bands = len(_NAMES), ", ".join(_NAMES)
+    one = ", ".join(f"0.0::DOUBLE AS u{j}" for j in range(n + 1))
+    margin = " + ".join([*(f"u{j} * {b}" for j, b in enumerate(_NAMES)), f"u{n}"])
+    losses = "w * ln(1 + exp(CASE WHEN y = 1 THEN -m ELSE m END))"
+    scored = f"CASE WHEN y = 1 THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END AS w, 2 * ({margin}) AS m"
+    parts = [
+        f"""px AS MATERIALIZED (SELECT p.wid, p.split, p.rank, lab.y, {bands} FROM parts p JOIN cover c USING (wid) JOIN lab ON lab.idx = c.idx JOIN nor ON nor.idx = c.idx WHERE p.split <> 'test')""",
+        "tw AS (SELECT wid FROM parts WHERE split = 'train')",
+        f"vb AS (SELECT wid, (row_number() OVER (ORDER BY md5('42:' || wid), wid) - 1) // {LOOP.batch_size} AS batch FROM parts WHERE split = 'val')",
+        f"m0 AS (SELECT {one})",
+    ]
+    u, rows = 0, []
+    for e in range(1, LOOP.max_epochs + 1):
+        rate = LOOP.learning_rate * LOOP.gamma ** (e - 1)
+        parts.append(f"tb{e} AS (SELECT wid, (row_number() OVER (ORDER BY md5('42:{e}:' || wid), wid) - 1) // {LOOP.batch_size} AS batch, ceil(count(*) OVER () / {LOOP.batch_size}::DOUBLE) AS nb FROM tw)")
+        for r in range(LOOP_ROUNDS):
+            grads = ", ".join([*(f"sum(w * (1 / (1 + exp(-m)) - y) * {b}) / sum(w) AS g{j}" for j, b in enumerate(_NAMES)), f"sum(w * (1 / (1 + exp(-m)) - y)) / sum(w) AS g{n}"])
+            moved = ", ".join(f"u{j} - {rate!r}::DOUBLE * coalesce((SELECT avg(g{j}) FROM b{u + 1}), 0) AS u{j}" for j in range(n + 1))
+            parts.append(
+                f"b{u + 1} AS MATERIALIZED (SELECT batch, sum({losses}) / sum(w) AS loss, {grads} FROM (SELECT px.*, batch, {scored} FROM px JOIN tb{e} USING (wid), m{u} WHERE floor(batch * {LOOP_ROUNDS} / nb) = {r}) GROUP BY 1)"
+            )
+            parts.append(f"m{u + 1} AS MATERIALIZED (SELECT {moved} FROM m{u})")
+            u += 1
+        pooled = " UNION ALL ".join(f"SELECT loss FROM b{k}" for k in range(u - LOOP_ROUNDS + 1, u + 1))
+        counts = ", ".join(
+            f"sum(CASE WHEN hit = {k} AND y = {k} THEN 1 ELSE 0 END) AS tp{k}, sum(CASE WHEN hit = {k} AND y <> {k} THEN 1 ELSE 0 END) AS fp{k}, sum(CASE WHEN hit <> {k} AND y = {k} THEN 1 ELSE 0 END) AS fn{k}" for k in (0, 1)
+        )
+        f1 = " + ".join(f"CASE WHEN 2 * tp{k} + fp{k} + fn{k} > 0 THEN 2 * tp{k} / (2 * tp{k} + fp{k} + fn{k}) ELSE 0.0::DOUBLE END" for k in (0, 1))
+        parts.append(f"v{e} AS MATERIALIZED (SELECT batch, sum({losses}) / sum(w) AS loss, {counts} FROM (SELECT px.*, batch, {scored}, CASE WHEN {margin} > 0 THEN 1 ELSE 0 END AS hit FROM px JOIN vb USING (wid), m{u}) GROUP BY 1)")
+        rows.append(f"SELECT CAST({e} AS BIGINT) AS epoch, {rate!r}::DOUBLE AS lr, (SELECT avg(loss) FROM ({pooled})) AS train_loss, (SELECT avg(loss) FROM v{e}) AS val_loss, (SELECT avg(({f1}) / 2) FROM v{e}) AS val_f1")
+    parts.append("logs AS MATERIALIZED (" + " UNION ALL ".join(rows) + ")")
+    # the fold: the first epoch after the warm-up is the best so far, later ones have to be better by more than the least step
+    first = LOOP_STOP.min_epochs + 1
+    best, value = str(first), f"(SELECT val_loss FROM logs WHERE epoch = {first})"
+    for e in range(first + 1, LOOP.max_epochs + 1):
+        parts.append(f"f{e} AS (SELECT CASE WHEN {value} - val_loss > {LOOP_STOP.min_delta!r}::DOUBLE THEN {e} ELSE {best} END AS best, CASE WHEN {value} - val_loss > {LOOP_STOP.min_delta!r}::DOUBLE THEN val_loss ELSE {value} END AS value FROM logs WHERE epoch = {e})")
+        best, value = f"(SELECT best FROM f{e})", f"(SELECT value FROM f{e})"
+    chosen = " UNION ALL ".join(f"SELECT {e} AS e, * FROM m{e * LOOP_ROUNDS}" for e in range(1, LOOP.max_epochs + 1))
+    weights = ", ".join([*(f"round(u{j}, 6) AS w{j}" for j in range(n)), f"round(u{n}, 6) AS bias"])
+    numbers = ", ".join(f"round({c}, 6) AS {c}" for c in ("lr", "train_loss", "val_loss", "val_f1"))
+    body = f"SELECT epoch, {numbers}, CAST({best} AS BIGINT) AS best_epoch, {weights} FROM logs, ({chosen}) WHERE e = {best}"
+    return sql([*PARTED, *NORMAL[1:], *parts], body)
+
+
 def mirrored(at: str, n: str) -> str:
     """Source place of a padded place, whatever the padding."""
     m = f"((({at}) % (2 * ({n} - 1)) + 2 * ({n} - 1)) % (2 * ({n} - 1)))"
@@ -247,6 +309,9 @@ FROM (SELECT pid, {tri_corner} FROM corner)""",
         "mosaic_argmax": sql([OPT, SIZE, votes("prob")], "SELECT idx, CASE WHEN p1 > p0 THEN 1 ELSE 0 END AS cls FROM mo"),
         "softmax_scores": sql(SCORED, scored),
         "score_windows": sql(SCORED, scored),
+        "patch_mosaic": sql([OPT, SIZE, *patch_votes("{}")], "SELECT idx, p0, p1 FROM mo"),
+        "patch_mosaic_truncate": sql([OPT, SIZE, *patch_votes("floor(2 * {})")], "SELECT idx, p0, p1 FROM mo"),
+        "train_epochs": training_loop(),
         "early_fusion": sql([OPT, LIDAR, ALIGNED], "SELECT idx, b0 AS f0, b1 AS f1, l0 AS f2, l1 AS f3 FROM al"),
         "late_fusion": sql([*NORMAL, late], f"SELECT idx, round({softmax2(*stack, 0)}, 6) AS p0, round({softmax2(*stack, 1)}, 6) AS p1 FROM lt"),
         "segmentation_report": sql(

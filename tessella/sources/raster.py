@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators.vector import reproject_rings
 from tessella.params import Grid
+from tessella.sources import geojson
 
 
 def read_pixels(spark: SparkSession, path: str, bands: list[str] | None = None) -> DataFrame:
@@ -66,48 +67,65 @@ def require_same_grid(a: Grid, b: Grid) -> None:
 
 
 _RINGS = "array<array<array<double>>>"
-#: Coordinates nest differently by type of geometry, so they are kept as text at first.
-GEOJSON = """crs struct<properties: struct<name: string>>,
-features array<struct<geometry: struct<type: string, coordinates: string>>>"""
 #: Of a file that names no system: longitude and latitude.
 DEFAULT_CRS = "EPSG:4326"
 
 
-def _geojson(spark: SparkSession, path: str, lines: bool) -> DataFrame:
-    return spark.read.schema(GEOJSON).option("multiLine", not lines).json(path).withColumn("file", F.input_file_name())
-
-
 def _system(name: Column) -> Column:
     """EPSG:n of a system's name in short or URN form."""
     code = F.regexp_extract(name, "EPSG:(?:[^:]*:)?([0-9]+)$", 1)
     return F.when(name.isNull() | name.endswith("CRS84"), DEFAULT_CRS).when(code != "", F.concat(F.lit("EPSG:"), code)).otherwise(name)
 
 
-def polygons_system(spark: SparkSession, path: str, lines: bool = False) -> str:
-    """The coordinate system that the files at ``path`` name; files of several systems raise."""
-    found = [r["crs"] for r in _geojson(spark, path, lines).select(_system(F.col("crs.properties.name")).alias("crs")).distinct().limit(2).collect()]
+def _one_system(names: DataFrame) -> str:
+    found = [r["crs"] for r in names.select(_system(F.col("name")).alias("crs")).distinct().limit(2).collect()]
     if len(found) != 1:
         raise ValueError(f"no single coordinate system: {', '.join(found) or 'no file'}")
     return found[0]
 
 
-def read_polygons(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Rings (pid, ring, vertices) of the polygons of GeoJSON files, each part of a multi-polygon a polygon of its own.
-
-    ``lines``: a feature collection per line, as ``write_polygons`` leaves them. A missing
-    file raises; other types of geometry have no area and are left out.
-    """
-    named = _geojson(spark, path, lines).withColumn("file", F.concat_ws(":", "file", F.xxhash64("features")) if lines else F.col("file"))
-    shapes = named.select("file", F.posexplode("features").alias("nth", "f")).select("file", "nth", "f.geometry.*")
+def _rings(shapes: DataFrame) -> DataFrame:
+    """(pid, ring, vertices) of (file, start, type, coordinates); each part of a multi-polygon is a polygon of its own."""
     parts = F.when(F.col("type") == "Polygon", F.array(F.from_json("coordinates", _RINGS))).when(
         F.col("type") == "MultiPolygon", F.from_json("coordinates", f"array<{_RINGS}>")
     )
-    parts = shapes.select("file", "nth", F.posexplode(parts).alias("part", "rings"))
-    rings = parts.select(F.xxhash64("file", "nth", "part").alias("pid"), F.posexplode("rings").alias("ring", "v"))
+    parts = shapes.select("file", "start", F.posexplode(parts).alias("part", "rings"))
+    rings = parts.select(F.xxhash64("file", "start", "part").alias("pid"), F.posexplode("rings").alias("ring", "v"))
     point = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
     return rings.select("pid", "ring", F.transform("v", point).alias("vertices"))
 
 
+def _whole_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The same as ``geojson`` gives, from a store that only Spark reaches: a file is one task there."""
+    schema = "crs struct<properties: struct<name: string>>, features array<struct<geometry: struct<type: string, coordinates: string>>>"
+    docs = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
+    shapes = docs.select("file", F.posexplode("features").alias("start", "f")).select("file", F.col("start").cast("bigint").alias("start"), "f.geometry.*")
+    return docs.select("file", F.col("crs.properties.name").alias("name")), shapes
+
+
+def _collections(spark: SparkSession, path: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """(file, name of its system, null where it names none) and the shapes of all files at ``path``."""
+    names = geojson.files(spark, path)
+    if not all(geojson.reachable(f) for f, _ in names[:1]):
+        return _whole_files(spark, path)
+    found = geojson.parts(spark, path, block)
+    all_files = spark.createDataFrame([(f,) for f, _ in names], "file string")
+    return all_files.join(geojson.crs_names(found), "file", "left"), geojson.geometries(found)
+
+
+def polygons_system(spark: SparkSession, path: str, block: int = geojson.BLOCK) -> str:
+    """The coordinate system that the files at ``path`` name; files of several systems raise."""
+    return _one_system(_collections(spark, path, block)[0])
+
+
+def read_polygons(spark: SparkSession, path: str, block: int = geojson.BLOCK) -> DataFrame:
+    """Rings (pid, ring, vertices) of the polygons of GeoJSON files, read in blocks of ``block`` bytes by many tasks.
+
+    A missing file raises; other types of geometry have no area and are left out.
+    """
+    return _rings(_collections(spark, path, block)[1])
+
+
 def write_polygons(rings: DataFrame, path: str, system: str = DEFAULT_CRS) -> None:
     """Polygons (pid, vertices) of one ring each as GeoJSON, a feature collection per line and about 4096 in all."""
     closed = F.concat("vertices", F.slice("vertices", 1, 1))
@@ -119,9 +137,10 @@ def write_polygons(rings: DataFrame, path: str, system: str = DEFAULT_CRS) -> No
     whole.write.mode("overwrite").json(path)
 
 
-def polygons_on(spark: SparkSession, path: str, system: str, lines: bool = False) -> DataFrame:
+def polygons_on(spark: SparkSession, path: str, system: str, block: int = geojson.BLOCK) -> DataFrame:
     """The polygons of ``path`` in the raster's system, reprojected where theirs is another."""
-    rings, own = read_polygons(spark, path, lines), polygons_system(spark, path, lines)
+    names, shapes = _collections(spark, path, block)
+    rings, own = _rings(shapes), _one_system(names)
     return rings if own == system else reproject_rings(rings, own, system)
 
 

@@ -145,19 +145,6 @@ def test_parts_of_multi_polygons_and_named_systems(spark, tmp_path):
         raster.polygons_on(spark, str(tmp_path / "b.json"), "EPSG:32723")
 
 
-def test_best_model_is_kept(spark):
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(400, 2))
-    rows = [(float(a), float(b), int(a + 0.3 * b > 0)) for a, b in x]
-    train, held = (spark.createDataFrame(r, "a double, b double, y int").cache() for r in (rows[:300], rows[300:]))
-    rule = Stopping(min_epochs=1, patience=2, min_delta=0.01)
-    best, log = model.fit_best(train, held, ["a", "b"], rule=rule, most=8)
-    losses = {r.epoch: r.val_loss for r in log.collect()}
-    end = earlystop.early_stop(log, "experiment", rule).first()
-    assert len(losses) <= 8 and model.validation_loss(best, held) == pytest.approx(losses[end.best_epoch])
-    assert losses[end.best_epoch] < losses[1]
-
-
 def test_projection_round_trip(spark):
     df = spark.createDataFrame([(-46.6, -23.5)], "x double, y double")
     x, y = vector.reproject(F.col("x"), F.col("y"), "EPSG:4326", "EPSG:3857")
