@@ -1,11 +1,12 @@
 """Operator 5: quality rules as a short-circuit cascade.
 
 Every rule is a Boolean column over the text, its words and counts. On a bounded
-sample, its cost is estimated (characters and words that it reads, each at a fixed
-price) and its selectivity among the rows that the rules before it leave. The next
+sample of the rows that reach the cascade, its cost is timed (the least of a few runs, beyond
+those of a rule that reads nothing, so counts that already stand in columns are free) and
+its selectivity is taken among the rows that the rules before it leave. The next
 rule is the one with the most rejection per cost, and a row that one rule rejects
 never reaches the next, as the verdict is one CASE expression. The order changes
-the work, never the verdict; the same rows give the same order.
+the work, never the verdict, so reruns agree whatever the timings.
 
 Defined results: a null or empty text has no words, fails the base rules and is
 not kept; rows keep their multiplicity; extra columns pass through where the
@@ -14,6 +15,7 @@ operator filters; an empty table gives an empty one and the rules' given order.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -24,6 +26,9 @@ from tessella.llm.common import SPACE_CLASS, free_name, let, words_of, written
 
 #: Rows that the estimates are made on, about.
 SAMPLE_ROWS = 2_000
+#: Runs that are timed for each rule, and the least cost of one on the whole sample.
+TRIES, LEAST_SECONDS = 2, 1e-4
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -94,15 +99,8 @@ class Counts:
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is the rule; it costs ``per_char`` for each character of the text and ``per_word`` for each word.
-
-    The prices are nanoseconds, about, on one core of the machine that this was written on.
-    """
-
     name: str
     rejects: Callable[[Counts], Column]
-    per_char: float
-    per_word: float
 
 
 def base_fails(n_words: Column, repeated: Column) -> Column:
@@ -110,49 +108,63 @@ def base_fails(n_words: Column, repeated: Column) -> Column:
 
 
 BASE_RULES = (
-    Rule("too_short", lambda c: c.n_words < 10, 0, 0),
-    Rule("repetitive", lambda c: 100 * c.n_repeat_words > 20 * c.n_words, 0, 400),
+    Rule("too_short", lambda c: c.n_words < 10),
+    Rule("repetitive", lambda c: 100 * c.n_repeat_words > 20 * c.n_words),
 )
 #: Beyond the base rules: markup or table debris, odd word lengths, repeated lines, stuttered words.
 RULES = (
-    Rule("symbols", lambda c: 10 * c.n_symbols > c.n_words, 10, 0),
-    Rule("word_length", lambda c: let(c.word_chars, lambda n: (n < 2 * c.n_words) | (n > 15 * c.n_words)), 2, 10),
-    Rule("dup_lines", lambda c: let(c.n_dup_lines, lambda n: (n > 0) & (2 * n > c.n_lines)), 15, 0),
-    Rule("stutter", lambda c: 10 * c.n_stutters > 3 * c.n_words, 0, 40),
+    Rule("symbols", lambda c: 10 * c.n_symbols > c.n_words),
+    Rule("word_length", lambda c: let(c.word_chars, lambda n: (n < 2 * c.n_words) | (n > 15 * c.n_words))),
+    Rule("dup_lines", lambda c: let(c.n_dup_lines, lambda n: (n > 0) & (2 * n > c.n_lines))),
+    Rule("stutter", lambda c: 10 * c.n_stutters > 3 * c.n_words),
 )
 
 
 @dataclass(frozen=True)
 class Estimate:
-    """Cost a row, and the share that the rule rejects of the rows that reach it."""
+    """Seconds a row, and the share that the rule rejects of the rows that reach it."""
 
     rule: Rule
     cost: float
     rejected: float
 
 
-def estimates(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text") -> list[Estimate]:
-    """The rules in the order in which they run, from one job over about SAMPLE_ROWS rows."""
+def _seconds(sample: DataFrame, rejects: Column) -> float:
+    """The least time of counting the sample's rows that a rule rejects."""
+    took = []
+    for _ in range(TRIES):
+        began = time.perf_counter()
+        sample.agg(F.count_if(rejects)).collect()
+        took.append(time.perf_counter() - began)
+    return min(took)
+
+
+def sampled(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(t, w): the texts and words of about SAMPLE_ROWS rows."""
     total = docs.select(F.count(F.lit(1))).first()[0]
-    if not total:
-        return [Estimate(r, 0.0, 0.0) for r in rules]
-    sample = docs.select(F.coalesce(text, F.lit("")).alias("t"))
-    sample = written(sample.sample(min(1.0, SAMPLE_ROWS / total), seed=5).withColumn("w", words_of(F.col("t"))), "rule-sample")
-    counts = Counts(F.col("t"), F.col("w"))
+    rows = docs.select(F.coalesce(text, F.lit("")).alias("t"))
+    return rows.sample(min(1.0, SAMPLE_ROWS / total) if total else 1.0, seed=5).withColumn("w", words_of(F.col("t")))
+
+
+def estimates(sample: DataFrame, rules: tuple[Rule, ...], given: tuple[str, ...] = (), seconds: Callable[[DataFrame, Column], float] = _seconds) -> list[Estimate]:
+    """The rules in the order in which they run; ``sample`` has the rows (t, w) that reach the first, and counts in the columns ``given``."""
+    sample = written(sample.select("t", "w", *given), "rule-sample")
+    counts = Counts(F.col("t"), F.col("w"), **{c: F.col(c) for c in given})
     hits = F.concat(*[F.when(r.rejects(counts), "1").otherwise("0") for r in rules])
     # one row per set of rules that reject together
-    per_set = sample.groupBy(hits.alias("hits")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("t")).alias("chars"), F.sum(F.size("w")).alias("words")).collect()
-    left, todo, found = {r["hits"]: r for r in per_set}, list(range(len(rules))), []
+    left = {r["hits"]: r["n"] for r in sample.groupBy(hits.alias("hits")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not left:
+        return [Estimate(r, 0.0, 0.0) for r in rules]
+    rows = sum(left.values())
+    nothing = seconds(sample, F.length("t") < 0)
+    cost = [max(seconds(sample, r.rejects(counts)) - nothing, LEAST_SECONDS) / rows for r in rules]
+    todo, found = list(range(len(rules))), []
     while todo:
-        n, chars, words = (sum(r[c] for r in left.values()) for c in ("n", "chars", "words"))
-
-        def estimate(i: int) -> Estimate:
-            cost = (1 + rules[i].per_char * chars / n + rules[i].per_word * words / n) if n else 1.0
-            return Estimate(rules[i], cost, sum(r["n"] for h, r in left.items() if h[i] == "1") / n if n else 0.0)
-
-        best = max(todo, key=lambda i: (estimate(i).rejected / estimate(i).cost, -estimate(i).cost, -i))
-        found.append(estimate(best))
-        left = {h: r for h, r in left.items() if h[best] == "0"}
+        n = sum(left.values())
+        rejected = {i: sum(k for h, k in left.items() if h[i] == "1") / n if n else 0.0 for i in todo}
+        best = max(todo, key=lambda i: (rejected[i] / cost[i], -cost[i], -i))
+        found.append(Estimate(rules[best], cost[best], rejected[best]))
+        left = {h: k for h, k in left.items() if h[best] == "0"}
         todo.remove(best)
     return found
 
@@ -165,10 +177,8 @@ def verdict(counts: Counts, order: list[Rule]) -> Column:
     return F.lit(None).cast("string") if case is F else case
 
 
-def annotate(docs: DataFrame) -> DataFrame:
-    """doc_id, the base features, base_failed, kept and the rejecting rule of every row; rows that the base rules reject reach no other rule."""
-    order = [e.rule for e in estimates(docs, RULES)]
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("w", words_of(F.col("t")))
+def _features(rows: DataFrame, *others: str) -> DataFrame:
+    """Adds the counts of the base rules to rows with t and w."""
     t, w = F.col("t"), F.col("w")
     features = {
         "n_words": F.size(w).cast("bigint"),
@@ -177,16 +187,23 @@ def annotate(docs: DataFrame) -> DataFrame:
         "n_dup_lines": n_dup_lines(t),
         "n_repeat_words": n_repeat_words(w),
     }
-    rows = rows.select("doc_id", "t", "w", *[c.alias(n) for n, c in features.items()])
-    rows = rows.withColumn("base_failed", base_fails(F.col("n_words"), F.col("n_repeat_words")))
-    found = verdict(Counts(t, w, **{n: F.col(n) for n in features}), order)
+    rows = rows.select(*others, "t", "w", *[features[n].alias(n) for n in FEATURES])
+    return rows.withColumn("base_failed", base_fails(F.col("n_words"), F.col("n_repeat_words")))
+
+
+def annotate(docs: DataFrame) -> DataFrame:
+    """doc_id, the base features, base_failed, kept and the rejecting rule of every row; rows that the base rules reject reach no other rule."""
+    order = [e.rule for e in estimates(_features(sampled(docs)).filter(~F.col("base_failed")), RULES, FEATURES)]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("w", words_of(F.col("t")))
+    rows = _features(rows, "doc_id")
+    found = verdict(Counts(F.col("t"), F.col("w"), **{n: F.col(n) for n in FEATURES}), order)
     rows = rows.withColumn("rejected_by", F.when(F.col("base_failed"), "base").otherwise(found))
-    return rows.withColumn("kept", F.col("rejected_by").isNull()).select("doc_id", *features, "base_failed", "kept", "rejected_by")
+    return rows.withColumn("kept", F.col("rejected_by").isNull()).select("doc_id", *FEATURES, "base_failed", "kept", "rejected_by")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass the base rules and all others, with all their columns."""
-    order = [e.rule for e in estimates(docs, BASE_RULES + RULES)]
+    order = [e.rule for e in estimates(sampled(docs), BASE_RULES + RULES)]
     text, found = free_name(docs, "t_"), free_name(docs, "rejected_")
     rows = docs.withColumn(text, F.coalesce("text", F.lit("")))
     # the words are bound inside the expression: a filter on it moves below any projection

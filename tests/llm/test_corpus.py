@@ -44,16 +44,32 @@ def test_cascade_order(spark):
     rows = [(i, "one two" if i % 2 else "a b c d # # #" if i % 4 else "w " * 200) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     rules = (
-        quality_cascade.Rule("none", lambda c: c.n_words > 999, 0, 1),
-        quality_cascade.Rule("dear", lambda c: c.n_words < 8, 50, 0),
-        quality_cascade.Rule("half", lambda c: c.n_words < 3, 0, 1),
-        quality_cascade.Rule("marks", lambda c: c.n_symbols > 2, 1, 0),
+        quality_cascade.Rule("none", lambda c: c.n_words > 999),
+        quality_cascade.Rule("dear", lambda c: c.n_words < 8),
+        quality_cascade.Rule("half", lambda c: c.n_words < 3),
+        quality_cascade.Rule("marks", lambda c: c.n_symbols > 2),
     )
-    first = quality_cascade.estimates(docs, rules)
+    times = {"none": 2.0, "dear": 60.0, "half": 2.0, "marks": 3.0}
+
+    def order(tuple_of_rules):
+        prices = iter([1.0, *[times[r.name] for r in tuple_of_rules]])  # first that of a rule that reads nothing
+        return quality_cascade.estimates(quality_cascade.sampled(docs), tuple_of_rules, seconds=lambda *_: next(prices))
+
+    first = order(rules)
     assert [e.rule.name for e in first] == ["half", "marks", "none", "dear"]
     # of the rows that 'half' leaves, 'marks' rejects half, and after both nothing is left for the others
     assert [e.rejected for e in first] == [0.5, 0.5, 0.0, 0.0]
-    assert all(quality_cascade.estimates(docs, rules) == first for _ in range(2))
+    assert [e.cost * 400 for e in first] == [1.0, 2.0, 1.0, 59.0]
+    assert [e.rule.name for e in order(rules[::-1])][:2] == ["half", "marks"]
+
+
+def test_costs_are_timed(spark):
+    """A rule on a count that stands in a column costs less than one that makes the count."""
+    docs = spark.createDataFrame([(i, ("word%d # " % (i % 7)) * 900) for i in range(800)], "doc_id bigint, text string")
+    rules = (quality_cascade.Rule("made", lambda c: quality_cascade.n_repeat_words(c.words) < 0), quality_cascade.Rule("given", lambda c: c.n_symbols < 0))
+    sample = quality_cascade._features(quality_cascade.sampled(docs))
+    cost = {e.rule.name: e.cost for e in quality_cascade.estimates(sample, rules, ("n_symbols",))}
+    assert cost["given"] < cost["made"]
 
 
 def test_rows_that_fail_the_base_rules_reach_no_other(spark):
@@ -272,6 +288,18 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    star = [(i, 3_000) for i in range(1, 3_000)] + [(5_000, 5_001)]  # one node with nearly all edges
+    got = {r.node: r.root for r in components(spark.createDataFrame(star, "a bigint, b bigint")).collect()}
+    assert got == {**{i: 1 for i in range(1, 3_001)}, 5_000: 5_000, 5_001: 5_000}
+
+
+def test_a_frequent_key_joins_written_tables(spark):
+    """No join takes a fresh aggregate of its own key, so Spark may split any of them."""
+    docs = spark.createDataFrame([(None if i % 3 == 0 else i, "alpha beta gamma delta epsilon " + "zeta " * (i % 5), "s") for i in range(90)], "doc_id bigint, text string, source string")
+    plan = source_mix.plan_mix(docs, docs.select("doc_id", F.lit(2.0).alias("weight")))
+    assert sum(1 for r in plan.collect() if r.doc_id is None) == 30
+    out = jaccard_join.link_documents(docs).collect()
+    assert len(out) == 90 and len({r.class_id for r in out}) == 4  # sets of one to five shingles, of which four and five make 0.8
 
 
 # -- 10
