@@ -4,8 +4,8 @@ Each document draws a reproducible uniform u from a hash of its identifier and t
 and of its number among the rows equal in these (so that rows without an identifier
 and repeated rows spread; equal rows are counted and dealt out again, never sorted), and
 gets the key -ln(u) / quality weight; small keys come first. A source's target is filled by complete epochs of all its documents, then by the documents in key
-order while their running size stays within the rest. Where more than SLACK of a
-target is still open (few, long documents), up to ROUNDS further passes take those
+order while their running size stays within the rest. While more than SLACK of a
+target is still open and documents fit (few, long ones did not), further passes take those
 that fit, in key order. Last, each source takes the one document more whose size is
 nearest to what is open, if that brings it nearer to its target.
 
@@ -30,7 +30,7 @@ from tessella.llm.common import WORD, free_name, written
 BUCKET_ROWS = 2_048
 #: Equal rows that one task deals out.
 COPIES = 4_096
-SLACK, ROUNDS = 0.001, 3
+SLACK = 0.001
 SEED = "mix"
 
 
@@ -91,8 +91,11 @@ def plan_mix(
     )
     sized = _dealt(sized, COPIES)
     if quality is not None:
-        best = quality.groupBy("doc_id").agg(F.greatest(F.max("weight"), F.lit(1.0)).alias("weight"))
-        sized = sized.join(best, "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+        best = quality.filter("doc_id is not null").groupBy("doc_id").agg(F.greatest(F.max("weight"), F.lit(1.0)).alias("weight"))
+        # written, so that the join of an identifier on many rows is a plain one, which Spark splits; rows without one aren't joined
+        best = written(best, "mix-weights")
+        weighed = sized.filter("doc_id is not null").join(best, "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+        sized = weighed.unionByName(sized.filter("doc_id is null").withColumn("weight", F.lit(1.0)))
     else:
         sized = sized.withColumn("weight", F.lit(1.0))
     named = F.when(F.col("copy") == 0, F.col("named")).otherwise(F.concat_ws(":", "named", "copy"))
@@ -125,7 +128,7 @@ def plan_mix(
     filled = ranked.groupBy("group").agg(F.first("target").alias("goal"), (F.first("rest") - reached).alias("open"))
     pool = ranked.filter(~F.col("fits") & (F.col("size") > 0)).select("group", "bucket", "nth", "size")
     more = None
-    for _ in range(ROUNDS):
+    while True:  # a pass takes at least one document of each source that has one that fits, so this ends
         found = _fitting(pool, filled.filter(F.col("open") > SLACK * F.col("goal")), per_bucket)
         if found.isEmpty():
             break

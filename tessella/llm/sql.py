@@ -39,7 +39,9 @@ t{k} AS (SELECT * EXCLUDE (taken, open, cand, run), taken OR coalesce(cand AND r
   open - coalesce(max(CASE WHEN cand AND run <= open THEN run END) OVER (PARTITION BY source), 0) AS open FROM b{k}),"""
 
 
-_ROUNDS = "\n".join(_round(k) for k in (1, 2, 3))
+#: More passes than any source needs on the tables; a pass that nothing fits in changes nothing.
+_PASSES = 12
+_ROUNDS = "\n".join(_round(k) for k in range(1, _PASSES + 1))
 
 MIX = f"""
 WITH q AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
@@ -59,7 +61,7 @@ r AS (SELECT k.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.sou
 f AS (SELECT *, rest > 0 AND reach <= rest AS fits FROM r),
 t0 AS (SELECT *, fits AS taken, rest - coalesce(max(CASE WHEN fits THEN reach END) OVER (PARTITION BY source), 0) AS open FROM f),
 {_ROUNDS}
-c AS (SELECT *, CASE WHEN NOT taken AND size > 0 THEN row_number() OVER (PARTITION BY source, taken OR size = 0 ORDER BY abs(size - open), rn) END AS near FROM t3)
+c AS (SELECT *, CASE WHEN NOT taken AND size > 0 THEN row_number() OVER (PARTITION BY source, taken OR size = 0 ORDER BY abs(size - open), rn) END AS near FROM t{_PASSES})
 SELECT doc_id, size, source_size, target,
   CAST((epochs + CASE WHEN taken OR (near = 1 AND abs(size - open) < open) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM c
 """
