@@ -124,6 +124,7 @@ def candidate_clusters(groups: DataFrame, depths: list[int]) -> DataFrame:
     prefixes = F.array(*[F.shiftright(F.col("labels")[i], sh.VALUE_BITS * (MAX_DEPTH - d)) for i, d in enumerate(depths)])
     entries = groups.select(F.xxhash64("set_key").alias("node"), F.posexplode(prefixes).alias("tree", "label"))
     buckets = entries.groupBy("tree", "label").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
+    buckets = written(buckets, "buckets")  # like the other written tables of keys: the join of a frequent one is then a plain one, which Spark splits
     edges = entries.join(buckets.drop("last"), ["tree", "label"]).filter("node <> first")
     return components(edges.select(F.col("node").alias("a"), F.col("first").alias("b")))
 
@@ -196,7 +197,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(docs: DataFrame, groups: DataFrame, clusters: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(a, null, links of a) and (a, b, 0) rows: link counts per block, and forests of links."""
     members = groups.select(F.xxhash64("set_key").alias("node"), "set_key", "copies", "row_key").join(clusters, "node")
-    sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / float(chunk)).cast("int").alias("chunks"))
+    sizes = written(members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / float(chunk)).cast("int").alias("chunks")), "cluster-sizes")
     members = members.join(sizes, "root").select("root", F.pmod(F.xxhash64("set_key", F.lit(1)), "chunks").cast("int").alias("chunk"), "chunks", "set_key", "copies", "row_key")
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.col("text").cast("binary").alias("text"))
     rows = texts.join(members, "row_key").select("root", "chunk", "chunks", "set_key", "copies", "text")
@@ -225,7 +226,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = components(links.filter("b is not null").select("a", "b")).select(F.col("node").alias("set_key"), F.col("root").alias("class_key"))
     counts = links.filter("b is null").groupBy(F.col("a").alias("set_key")).agg(F.sum("n").alias("linked"))
     linked = groups.join(found, "set_key").join(counts, "set_key").select("set_key", "class_key", "linked", "first")
-    heads = linked.groupBy("class_key").agg(F.min("first").alias("head"))
+    heads = written(linked.groupBy("class_key").agg(F.min("first").alias("head")), "class-heads")
     linked = linked.join(heads, "class_key").select("set_key", "class_key", "linked", "head")
     per_set = groups.select("set_key", "copies", "first").join(linked, "set_key", "left")
     per_set = per_set.select(
