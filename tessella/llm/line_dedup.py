@@ -175,16 +175,16 @@ def apply_lines(docs: DataFrame, plan: DataFrame, result: str) -> DataFrame:
     return joined.withColumn(result, _rebuild("text", kept)).select(*[rows[c] for c in docs.columns], result)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, near_words: int = line_keys.NEAR_WORDS) -> DataFrame:
     """docs without the lines that go, and without documents that lose all their lines."""
     result = free_name(docs, "result__")
-    rows = apply_lines(docs, plan_lines(docs), result)
+    rows = apply_lines(docs, plan_lines(docs, near_words), result)
     r = F.col(result)
     rows = rows.filter((r["n_kept"] > 0) | (r["n_lines"] == 0))
     return rows.select(*[r["text"].alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
-def line_report(docs: DataFrame) -> DataFrame:
+def line_report(docs: DataFrame, near_words: int = line_keys.NEAR_WORDS) -> DataFrame:
     """doc_id, n_lines, n_kept and the remaining text of every row."""
-    rows = apply_lines(docs.select("doc_id", "text"), plan_lines(docs), "result__")
+    rows = apply_lines(docs.select("doc_id", "text"), plan_lines(docs, near_words), "result__")
     return rows.select("doc_id", "result__.n_lines", "result__.n_kept", "result__.text")
