@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.sources.scratch import folder as scratch  # noqa: F401
+from tessella.sources.scratch import kept as written  # noqa: F401
+
 #: A word is a run of characters other than the six ASCII white-space characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,33 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor can reach.
-
-    The setting is read from the session. Only in a session on one machine may it be
-    unset: a local folder is then made and set. Elsewhere that raises.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            root = jvm_dir.get()
-        elif not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        else:
-            root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-            spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame once to the shared folder and read it back: lineage ends here."""
-    path = scratch(df.sparkSession, label)
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
     """Bound the rows and bytes of an Arrow batch, so that long texts can't add up in a worker.
 
