@@ -10,8 +10,7 @@ dropped; copies never expand to pairs. The work is that of all queries against a
 classes.
 
 Defined results: null or too short audio has an empty fingerprint, no class, and
-matches nothing; recordings of fewer than MIN_OVERLAP positions match only those
-with an equal fingerprint; rows equal in id and fingerprint are one recording,
+matches nothing; a recording of fewer than MIN_OVERLAP positions is compared whole; rows equal in id and fingerprint are one recording,
 which doesn't match itself, and for other queries they count each; one id with
 several fingerprints has several rows; null ids are never queries, and as
 recordings can be matched; extra columns are ignored; empty tables give no rows.

@@ -104,16 +104,20 @@ class Stack:
                     self.groups.append((some, one, _paired(one)))
 
     def aligned(self, query: np.ndarray, min_overlap: int, max_error: float) -> list[tuple[int, int, float, int]]:
-        """(place in the block, offset, bit error rate, positions) of each recording that aligns, by the best of all its offsets."""
+        """(place in the block, offset, bit error rate, positions) of each recording that aligns, by the best of all its offsets.
+
+        At least ``min_overlap`` positions are compared, or the whole of the shorter recording.
+        """
         m, best = len(query), {}
         single = query.astype(np.uint32)[:, None]
         double = _paired(single)
         for places, one, two in self.groups:
             n = len(one)
-            for shift in range(min_overlap - m, n - min_overlap + 1):
+            least = min(min_overlap, m, n)
+            for shift in range(least - m, n - least + 1):
                 lo, hi = max(0, -shift), min(m, n - shift)
                 size = hi - lo
-                if size < min_overlap or size <= 0:
+                if size < least or size <= 0:
                     continue
                 small = np.uint16 if 32 * size < 1 << 16 else np.int64
                 wrong = np.bitwise_count(two[lo + shift : hi + shift - 1 : 2] ^ double[lo : hi - 1 : 2]).sum(0, dtype=small)

@@ -47,7 +47,7 @@ def brute(rows, every):
             errors = []
             for shift in range(-len(a), len(b)):
                 wrong, m = chroma.bit_errors(a, b, shift)
-                if m >= audio_match.MIN_OVERLAP and wrong <= audio_match.MAX_ERROR * 32 * m:
+                if m >= min(audio_match.MIN_OVERLAP, len(a), len(b)) and m and wrong <= audio_match.MAX_ERROR * 32 * m:
                     errors.append(wrong / (32 * m))
             if errors:
                 n += 1
@@ -122,6 +122,16 @@ def test_all_matches_are_returned_by_class(spark):
     assert r.matches[0].id == 1 and r.best_id == 1
 
 
+def test_short_recordings_are_compared_whole():
+    rng = np.random.default_rng(8)
+    whole = rng.integers(0, 1 << 32, 40, dtype=np.uint32)
+    part, other = whole[11:19].copy(), rng.integers(0, 1 << 32, 8, dtype=np.uint32)
+    part[3] ^= np.uint32(0b111)
+    stack = chroma.Stack([whole, other, part])
+    assert stack.aligned(part, audio_match.MIN_OVERLAP, 0.25) == [(0, 11, 3 / 256, 8), (2, 0, 0.0, 8)]
+    assert stack.aligned(whole, audio_match.MIN_OVERLAP, 0.25) == [(0, 0, 0.0, 40), (2, -11, 3 / 256, 8)]
+
+
 def test_short_copies_and_repeated_ids(spark):
     rows = [(0, pcm(tune(1, 24))), (1, pcm(tune(1, 24))), (20, pcm(tune(3))), (20, pcm(tune(4))), (7, pcm(tune(3))), (8, pcm(tune(4)))]
     out = [r for r in audio_match.search(spark.createDataFrame(rows, "id bigint, audio binary")).collect() if r.matches is not None]
