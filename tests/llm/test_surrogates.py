@@ -124,3 +124,13 @@ def test_a_row_on_a_third_of_the_table(spark):
     rows = s.replace(docs, "k", count="n").collect()
     assert len(rows) == 300 and sum(r.n for r in rows) == 200
     assert by_row(rows, "doc_id", "text") == by_row(s.replace(docs, "k").collect(), "doc_id", "text")
+
+
+def test_null_identifiers_and_clashing_names(spark):
+    names = ["row_key", "place", "part", "kind", "form", "new", "news", "hits", "hit", "lead", "entity", "n"]
+    rows = [(None, TEXTS[0], *names), (None, TEXTS[0], *names), (None, None, *names), (4, "", *names), (4, TEXTS[0], *names)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
+    out = s.replace(docs, "k").collect()
+    assert len(out) == 5 and all(tuple(r[n] for n in names) == tuple(names) for r in out)
+    changed = {r.text for r in out if r.text}
+    assert len(changed) == 1 and TEXTS[0] not in changed and sum(r.text is None for r in out) == 1 and sum(r.doc_id is None for r in out) == 3
