@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tessella.operators import ranks
 from tessella.operators.vector import covered, united
 from tessella.params import IGNORE, Grid, Split, Windows
 
@@ -20,20 +20,13 @@ def shuffle_key(seed: object, wid: Column) -> Column:
 
 
 def ranked(windows: DataFrame, key: Column) -> DataFrame:
-    """Adds ``rank`` from 1 in the order of key, wid, and the ``total`` number of rows.
-
-    Windows are few against pixels, yet a global rank would pass them all through one
-    task. Ranks are taken within 256 ranges of the key's first byte, and offset by the
-    sizes of the ranges before: 256 rows.
-    """
-    rows = windows.withColumn("key", key).withColumn("range", F.substring("key", 1, 2))
-    sizes = rows.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
-    offset = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("n").over(Window.partitionBy())
-    offsets = sizes.select("range", F.coalesce(offset, F.lit(0)).alias("offset"), total.alias("total"))
-    inside = Window.partitionBy("range").orderBy("key", "wid")
-    rows = rows.withColumn("rank", F.row_number().over(inside)).join(F.broadcast(offsets), "range")  # 256 rows at most
-    return rows.withColumn("rank", F.col("rank") + F.col("offset")).drop("range", "offset", "key")
+    """Adds ``rank`` from 1 in the order of key, wid, and the ``total`` number of rows."""
+    return ranks.ranked(windows.withColumn("key", key), ["key", "wid"]).drop("key")
+
+
+def first(ranked_windows: DataFrame, n: int) -> DataFrame:
+    """The first n windows by rank, for trial runs."""
+    return ranked_windows.filter(F.col("rank") <= n)
 
 
 def split(windows: DataFrame, how: Split) -> DataFrame:

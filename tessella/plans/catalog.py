@@ -12,7 +12,7 @@ from tessella.functions import scalar
 from tessella.operators import augment, clean, earlystop, focal, grid, metrics, model, mosaic, patches, split, training, vector
 from tessella.params import Clipping, Experiment, Grid, Split, Stopping, Training, Windows
 from tessella.sources import fixtures as fx
-from tessella.sources import raster
+from tessella.sources import partials, raster, versions
 from tessella.sources.scratch import folder, kept
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,8 +59,8 @@ def report_append(spark, sf):
     """Two appended reports, read back and counted."""
     path = folder(spark, "report")
     report = metrics.report(fx.evaluation_pairs(spark, sf))
-    for name in ("a", "b"):
-        raster.append_report(report.withColumn("experiment", F.lit(name)), path)
+    for name in ("a", "b", "b"):  # the second append of b replaces the first
+        raster.append_report(report.withColumn("experiment", F.lit(name)), path, name)
     return spark.read.parquet(path).select("experiment", "k", "tp", "fp", "fn", "tn")
 
 
@@ -117,9 +117,24 @@ def pixel_to_map(spark, sf):
 
 @query
 def align_sources(spark, sf):
+    raster.require_on_grid(fx.lidar(spark, sf), fx.grid(spark, sf))
     return fx.aligned(spark, sf).select("idx", "b0", "l0", "l1")
 
 
+@query
+def align_stored(spark, sf):
+    """Both sources stored in buckets of the pixel index, so that they join without a shuffle."""
+    opt = raster.store_raster(fx.optical(spark, sf), folder(spark, "optical"))
+    lid = raster.store_raster(fx.lidar(spark, sf), folder(spark, "lidar"))
+    return raster.with_optional(opt, lid, ["l0", "l1"]).select("idx", "b0", "l0", "l1")
+
+
+@query
+def algebra_stored(spark, sf):
+    px = raster.store_raster(fx.optical(spark, sf), folder(spark, "optical"))
+    return focal.add(px, px.select("idx", F.col("b2").alias("b0"), F.col("b3").alias("b1")), ["b0", "b1"])
+
+
 @query
 def missing_source(spark, sf):
     return raster.with_optional(fx.optical(spark, sf), None, ["l0"]).select("idx", "b0", "l0")
@@ -162,6 +177,45 @@ def prepared_scan(spark, sf):
     return px.select("idx", "b0", "l0")
 
 
+@query
+def prepared_version(spark, sf):
+    """All prepared outputs of a run as one version, read back through its manifest; windows are stored by split."""
+    px, windows, g = _split(spark, sf)
+    windows = kept(windows, "windows")
+    label = px.select("idx", "y")
+    tables = {
+        "optical": fx.optical(spark, sf),
+        "lidar": fx.aligned(spark, sf).select("idx", "l0", "l1"),
+        "label": label,
+        "test_label": split.test_label(label, windows.filter(F.col("split") == "test"), g, W16),
+        "windows": windows.filter(F.col("split") != "test").select("wid", "wr", "wc", "split"),
+        "classes": raster.class_map(spark, {0: 0, 1: 1}),
+    }
+    root = folder(spark, "version")
+    for _ in range(2):  # the second time the run is complete
+        versions.write_version(spark, root, "r1", tables, {"windows": "split"})
+    read = lambda name: versions.read_version(spark, root, name)
+    sums = lambda df, name, c: df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.sum(c).cast("bigint").alias("total"))
+    out = sums(read("optical"), "optical", "idx").unionByName(sums(read("lidar"), "lidar", "l0"))
+    out = out.unionByName(sums(read("label"), "label", "y")).unionByName(sums(read("test_label"), "test_label", "y"))
+    for part in ("train", "val"):
+        out = out.unionByName(sums(read("windows").filter(F.col("split") == part), part, "wid"))
+    return out
+
+
+@query
+def merged_statistics(spark, sf):
+    """Extremes, counts and positive pixels from states per file: of the second half of the raster only its own files are read."""
+    path, store = folder(spark, "added"), folder(spark, "states")
+    px, g = _labelled(spark, sf, "b0", "b2")
+    px = kept(px, "labelled")
+    for half in (F.col("row") < g.height // 2, F.col("row") >= g.height // 2):
+        px.filter(half).write.mode("append").parquet(path)
+        partials.update(spark, path, store, ["b0", "b2"], (0.0, 600_000.0, 50), "y")
+    counts = partials.histogram(spark, path, store).groupBy("band").agg(F.max("n").alias("fullest"))
+    return partials.summary(spark, path, store).join(counts, "band")
+
+
 @query
 def label_scan(spark, sf):
     path, g = folder(spark, "label"), fx.grid(spark, sf)
@@ -357,9 +411,18 @@ def window_batches(spark, sf):
 
 @query
 def first_batch_sample(spark, sf):
-    windows = _split(spark, sf)[1].filter(F.col("split") == "train").select("wid")
-    first = split.shuffled_batches(windows, 42, 1, 8).filter(F.col("batch") == 0).select("wid")
-    return _gathered(spark, sf).join(first, "wid", "left_semi").select("wid", "idx", "y", (F.col("b0") > 250000).cast("int").alias("cls"))
+    """The first validation batch with a model's class of each pixel."""
+    windows = _split(spark, sf)[1]
+    first = split.batched(split.ranked(windows.filter(F.col("split") == "val").select("wid", "wr", "wc"), split.shuffle_key(42, F.col("wid"))), 8).filter(F.col("batch") == 0)
+    corners = first.select("wid", (F.col("wr") * W16.step).alias("row0"), (F.col("wc") * W16.step).alias("col0"))
+    px = fx.labelled(spark, sf, mosaic.classify(_scored(spark, sf), ["p0", "p1"]).select("idx", "cls"), fx.grid(spark, sf))
+    return grid.window_pixels(corners, fx.grid(spark, sf), W16).join(px, "idx").select("wid", "idx", "y", "cls")
+
+
+@query
+def first_windows(spark, sf):
+    """The first windows of the split, as for a trial run."""
+    return split.first(_split(spark, sf)[1], 20).select("wid", "rank", "split")
 
 
 @query

@@ -258,6 +258,18 @@ UNION ALL SELECT 3, 'TN=' || format('{:,}', CAST(tn AS BIGINT)) || '  FP=' || fo
         "pixel_grid": sql([OPT], 'SELECT idx, "row", col, "row" * 50 + col AS back FROM opt'),
         "pixel_to_map": sql([OPT], 'SELECT idx, 300000 + (col + 0.5::DOUBLE) * 0.25::DOUBLE AS x, 7500000 + ("row" + 0.5::DOUBLE) * -0.25::DOUBLE AS y FROM opt'),
         "align_sources": sql([OPT, LIDAR, ALIGNED], "SELECT idx, b0, l0, l1 FROM al"),
+        "align_stored": sql([OPT, LIDAR, ALIGNED], "SELECT idx, b0, l0, l1 FROM al"),
+        "algebra_stored": sql([OPT], "SELECT idx, b0 + b2 AS b0, b1 + b3 AS b1 FROM opt"),
+        "prepared_version": sql(
+            [*PARTED, LIDAR, ALIGNED, "cov AS (SELECT DISTINCT idx FROM cover JOIN parts USING (wid) WHERE split = 'test')"],
+            """SELECT 'optical' AS name, count(*) AS n, CAST(sum(idx) AS BIGINT) AS total FROM opt UNION ALL SELECT 'lidar', count(*), CAST(trunc(sum(l0)) AS BIGINT) FROM al
+UNION ALL SELECT 'label', count(*), CAST(sum(y) AS BIGINT) FROM lab UNION ALL SELECT 'test_label', count(*), CAST(sum(CASE WHEN cov.idx IS NULL THEN 255 ELSE y END) AS BIGINT) FROM lab LEFT JOIN cov USING (idx)
+UNION ALL SELECT split, count(*), CAST(sum(wid) AS BIGINT) FROM parts WHERE split <> 'test' GROUP BY split""",
+        ),
+        "merged_statistics": sql(
+            [*LABELLED, "val AS (SELECT 'b0' AS band, b0 AS x, y FROM lab UNION ALL SELECT 'b2', b2, y FROM lab)", "cnt AS (SELECT band, greatest(0, least(49, floor(x / 600000 * 50))) AS bin, count(*) AS k FROM val GROUP BY 1, 2)"],
+            "SELECT band, count(*) AS n, min(x) AS mn, max(x) AS mx, CAST(sum(y) AS BIGINT) AS positive, (SELECT max(k) FROM cnt WHERE cnt.band = val.band) AS fullest FROM val GROUP BY band",
+        ),
         "missing_source": sql([OPT], "SELECT idx, b0, 0.0::DOUBLE AS l0 FROM opt"),
         "raster_bands_long": sql([OPT], "SELECT idx, CAST(1 AS BIGINT) AS band, b0 AS value FROM opt UNION ALL SELECT idx, 2, b2 FROM opt"),
         "nan_to_zero": sql([OPT], "SELECT idx, CASE WHEN idx % 97 = 0 OR idx % 89 = 0 THEN 0.0::DOUBLE ELSE b0 END AS b0 FROM opt"),
@@ -301,8 +313,10 @@ FROM (SELECT pid, {tri_corner} FROM corner)""",
         ),
         "window_batches": sql([*PARTED, BATCH], "SELECT wid, rank, batch FROM bat"),
         "first_batch_sample": sql(
-            [*PARTED, GATHER, BATCH], "SELECT wid, idx, y, CASE WHEN b0 > 250000 THEN 1 ELSE 0 END AS cls FROM gat WHERE wid IN (SELECT wid FROM bat WHERE batch = 0)"
+            [*PARTED, *SCORED[1:], "vb AS (SELECT wid, (row_number() OVER (ORDER BY md5('42:' || wid), wid) - 1) // 8 AS batch FROM parts WHERE split = 'val')"],
+            "SELECT wid, c.idx, y, CASE WHEN p1 > p0 THEN 1 ELSE 0 END AS cls FROM vb JOIN cover c USING (wid) JOIN sc ON sc.idx = c.idx WHERE batch = 0",
         ),
+        "first_windows": sql(PARTED, "SELECT wid, rank, split FROM parts WHERE rank <= 20"),
         "window_transform": sql([*PARTED, GATHER], "SELECT wid, 15 - r AS r, c, b0 FROM gat"),
         "mosaic_prob": sql([OPT, SIZE, votes("prob")], "SELECT idx, p0, p1 FROM mo"),
         "mosaic_truncate": sql([OPT, SIZE, votes("trunc")], "SELECT idx, p0, p1 FROM mo"),

@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tessella.operators import vector
+from tessella.operators import ranks, vector
 from tessella.params import Grid
 from tessella.sources.raster import from_wide, grid_of, with_optional
 
@@ -23,8 +22,8 @@ OPTICAL = {
 }
 BANDS = [*OPTICAL, "l0", "l1"]
 TRANSFORM = [300000.0, 0.25, 0.0, 7500000.0, 0.0, -0.25]
-#: Epochs of a run, and slices of time in which events are ranked.
-MAX_EPOCHS, SLICES = 300, 256
+#: Epochs of a run.
+MAX_EPOCHS = 300
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,25 +66,6 @@ def evaluation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("doc_id", y.alias("y"), pred.alias("pred"))
 
 
-def ranked_events(events: DataFrame) -> DataFrame:
-    """Adds ``rank`` from 1 in the order of ts, event_id within the event type.
-
-    Types are few, so ranks are taken within SLICES equal slices of time per type, and
-    offset by the sizes of the slices before: SLICES rows per type. Null times come first.
-    """
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    span = events.agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
-    place = F.floor((at - F.col("lo")) * SLICES / (F.col("hi") - F.col("lo") + 1))
-    rows = events.crossJoin(F.broadcast(span)).withColumn("slice", F.coalesce(place, F.lit(-1))).drop("lo", "hi")
-    sizes = rows.groupBy("event_type", "slice").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("event_type").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("event_type").alias("of"), F.col("slice").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("event_type", "slice").orderBy("ts", "event_id")
-    rows = rows.withColumn("rank", F.row_number().over(inside))
-    rows = rows.join(F.broadcast(offsets), F.col("event_type").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("at")))
-    return rows.withColumn("rank", F.col("rank") + F.col("offset")).drop("slice", "of", "at", "offset")
-
-
 def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training logs: each type's events in order, cut into consecutive runs of MAX_EPOCHS.
 
@@ -93,7 +73,8 @@ def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     the type, # and n. All events are used, and no experiment is longer than MAX_EPOCHS.
     """
     run = F.floor((F.col("rank") - 1) / MAX_EPOCHS)
-    rows = ranked_events(table(spark, sf_dir, "events")).withColumn("run", run).withColumn("epoch", F.col("rank") - F.col("run") * MAX_EPOCHS)
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    rows = ranks.ranked(events, ["ts", "event_id"], ["event_type"]).withColumn("run", run).withColumn("epoch", F.col("rank") - F.col("run") * MAX_EPOCHS)
     y = F.when(F.col("event_id") % 11 == 0, 255).otherwise(F.col("event_id") % 2).cast("int")
     return rows.select(
         F.when(F.col("run") == 0, F.col("event_type")).otherwise(F.concat_ws("#", "event_type", F.col("run") + 1)).alias("experiment"),

@@ -6,6 +6,8 @@ A raster is a table with one row per pixel: ``idx`` (row-major, 64 bits), ``row`
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -185,8 +187,34 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def append_report(report: DataFrame, path: str) -> None:
-    report.write.mode("append").parquet(path)
+def append_report(report: DataFrame, path: str, run: str | None = None) -> None:
+    """Adds rows to a report. With a run's name they replace what that run has added before, so a repeated append changes nothing; readers see it as a column."""
+    if run is None:
+        report.write.mode("append").parquet(path)
+    else:
+        report.write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def require_on_grid(other: DataFrame, grid: Grid) -> None:
+    """Raises unless a second raster lies on the grid: of the same size if it has rows and columns, else with indices inside."""
+    if {"row", "col"} <= set(other.columns):
+        require_same_grid(grid, grid_of(other))
+        return
+    found = other.agg(F.min("idx").alias("least"), F.max("idx").alias("most")).first()
+    if found["least"] is not None and not 0 <= found["least"] <= found["most"] < grid.height * grid.width:
+        raise ValueError(f"indices {found['least']} to {found['most']} are not on {grid}")
+
+
+def store_raster(pixels: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
+    """A raster as a table in buckets of idx, each sorted by it: rasters stored alike join without a shuffle, and ranges of pixels skip most of each file.
+
+    The table is registered in the session under a name of its own; its files lie at ``path``.
+    """
+    spark = pixels.sparkSession
+    name = f"raster_{uuid.uuid4().hex}"
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pixels.repartition(n, "idx").write.bucketBy(n, "idx").sortBy("idx").option("path", path).saveAsTable(name)
+    return spark.table(name)
 
 
 def with_optional(pixels: DataFrame, other: DataFrame | None, bands: list[str], fill: float = 0.0) -> DataFrame:
