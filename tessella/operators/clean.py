@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 
 from tessella.functions.scalar import ceil_cents, clip, min_max, no_nan
 from tessella.params import Clipping
-from tessella.sources.scratch import kept
 
 #: Groups of neighbouring bins that a histogram is counted in before it is refined.
 COARSE = 1024
@@ -33,20 +32,19 @@ def histogram(long: DataFrame, bins: int) -> DataFrame:
     return rows.withColumn("bin", placed.cast("bigint")).groupBy("band", "bin", "mn", "mx").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _extremes_row(pixels: DataFrame, bands: list[str]) -> DataFrame:
-    """One row with a struct mn, mx per band: all bands in one aggregation."""
-    of = lambda b: F.struct(F.min(no_nan(F.col(b))).alias("mn"), F.max(no_nan(F.col(b))).alias("mx")).alias(b)
-    return pixels.agg(F.struct(*[of(b) for b in bands]).alias("ends__"))
+def _ends(pixels: DataFrame, bands: list[str]) -> dict[str, tuple[float, float]]:
+    """Least and largest value of each band, all in one aggregation; none for a raster without pixels."""
+    x = {b: no_nan(F.col(b)) for b in bands}
+    row = pixels.agg(*[F.min(v).alias(f"mn_{b}") for b, v in x.items()], *[F.max(v).alias(f"mx_{b}") for b, v in x.items()]).first()
+    return {b: (row[f"mn_{b}"], row[f"mx_{b}"]) for b in bands if row[f"mn_{b}"] is not None}
 
 
-def _bins(pixels: DataFrame, ends: DataFrame, bands: list[str], bins: int) -> DataFrame:
-    """(band, bin) of every pixel and band, by the extremes of one row."""
-    pairs = []
-    for b in bands:
-        x, e = no_nan(F.col(b)), F.col("ends__")[b]
-        placed = F.when(e["mx"] > e["mn"], F.least(F.lit(bins - 1), F.floor((x - e["mn"]) / (e["mx"] - e["mn"]) * bins))).otherwise(F.lit(0))
-        pairs.append(F.struct(F.lit(b).alias("band"), placed.cast("bigint").alias("bin")))
-    return pixels.crossJoin(F.broadcast(ends)).select(F.inline(F.array(*pairs)))
+def _by_band(values: dict[str, object]) -> Column:
+    """The value of the row's band."""
+    case = F
+    for band, value in values.items():
+        case = case.when(F.col("band") == band, value)
+    return case
 
 
 def thresholds(pixels: DataFrame, bands: list[str], how: Clipping = Clipping(), mask: Column | None = None) -> DataFrame:
@@ -54,49 +52,54 @@ def thresholds(pixels: DataFrame, bands: list[str], how: Clipping = Clipping(),
 
     By refinement: bins are counted in about COARSE groups of neighbours, and only the two
     groups that hold a limit are counted bin by bin. So at most 3 * COARSE counts a
-    band are shuffled by a task, whatever the number of bins. Three passes over the
-    pixels: extremes, groups, bins.
+    band are shuffled by a task, whatever the number of bins. Three passes over the pixels:
+    extremes, groups, bins; of the first two a row per band reaches the driver.
     """
     rows = pixels if mask is None else pixels.filter(mask != 2)
-    ends = _extremes_row(rows, bands)
-    placed = _bins(rows, ends, bands, how.bins)
+    ends = _ends(rows, bands)
+    if not ends:
+        return rows.sparkSession.createDataFrame([], "band string, lo double, hi double, mn double, mx double")
+    pairs = []
+    for b, (mn, mx) in ends.items():
+        place = F.least(F.lit(how.bins - 1), F.floor((no_nan(F.col(b)) - mn) / (F.lit(mx) - F.lit(mn)) * how.bins)) if mx > mn else F.lit(0)
+        pairs.append(F.struct(F.lit(b).alias("band"), place.cast("bigint").alias("bin")))
+    placed = rows.select(F.inline(F.array(*pairs)))
     width = -(-how.bins // COARSE)
-    group = F.floor(F.col("bin") / width).alias("group")
-    counts = placed.groupBy("band", group).agg(F.count(F.lit(1)).alias("n"))
+    group = F.floor(F.col("bin") / width)
+    counts = placed.groupBy("band", group.alias("group")).agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("band").orderBy("group").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.withColumns({"reach": F.sum("n").over(order), "total": F.sum("n").over(Window.partitionBy("band"))})
     limits = (("lower", how.lower), ("upper", how.upper))
     first = lambda p: F.min(F.when(F.col("reach") / F.col("total") >= p, F.struct("group", (F.col("reach") - F.col("n")).alias("before"))))
-    held = counts.groupBy("band").agg(F.first("total").alias("total"), *[first(p).alias(n) for n, p in limits])
-    held = kept(held, "threshold-groups")  # a row per band
+    held = {r["band"]: r for r in counts.groupBy("band").agg(F.first("total").alias("total"), *[first(p).alias(n) for n, p in limits]).collect()}
 
-    at = lambda n: F.col(f"{n}.group")
-    near = placed.join(F.broadcast(held), "band").filter((F.floor(F.col("bin") / width) == at("lower")) | (F.floor(F.col("bin") / width) == at("upper")))
-    fine = near.groupBy("band", "bin").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(held), "band")
-    of_group = Window.partitionBy("band", F.floor(F.col("bin") / width)).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = {n: _by_band({b: F.lit(r[n]["group"]) for b, r in held.items()}) for n, _ in limits}
+    fine = placed.filter((group == at["lower"]) | (group == at["upper"])).groupBy("band", "bin").agg(F.count(F.lit(1)).alias("n"))
+    of_group = Window.partitionBy("band", group).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fine = fine.withColumn("running", F.sum("n").over(of_group))
-    bin_of = lambda n, p: F.min(F.when((F.floor(F.col("bin") / width) == at(n)) & ((F.col(f"{n}.before") + F.col("running")) / F.col("total") >= p), F.col("bin")))
+    before = {n: _by_band({b: F.lit(r[n]["before"]) for b, r in held.items()}) for n, _ in limits}
+    total = _by_band({b: F.lit(r["total"]) for b, r in held.items()})
+    bin_of = lambda n, p: F.min(F.when((group == at[n]) & ((before[n] + F.col("running")) / total >= p), F.col("bin")))
     found = fine.groupBy("band").agg(*[bin_of(n, p).alias(n) for n, p in limits])
-    spans = ends.select(F.inline(F.array(*[F.struct(F.lit(b).alias("band"), F.col("ends__")[b]["mn"].alias("mn"), F.col("ends__")[b]["mx"].alias("mx")) for b in bands])))
-    found = found.join(F.broadcast(spans), "band")
-    edge = lambda n: ceil_cents(F.col("mn") + F.col(n) * (F.col("mx") - F.col("mn")) / how.bins)
-    return found.select("band", edge("lower").alias("lo"), edge("upper").alias("hi"), "mn", "mx")
+    mn, mx = (_by_band({b: F.lit(e[i]) for b, e in ends.items()}) for i in (0, 1))
+    edge = lambda n: ceil_cents(mn + F.col(n) * (mx - mn) / how.bins)
+    return found.select("band", edge("lower").alias("lo"), edge("upper").alias("hi"), mn.alias("mn"), mx.alias("mx"))
 
 
 def clip_normalise(pixels: DataFrame, bands: list[str], how: Clipping = Clipping(), mask: Column | None = None, prefix: str = "n_") -> DataFrame:
     """Adds each band clipped and scaled as ``prefix`` + name.
 
     Clipping is monotone, so the extremes after it are the clipped extremes. With a
-    mask, the extremes of all pixels are taken in a pass of their own.
+    mask, the extremes of all pixels are taken in a pass of their own, and without any
+    pixel that counts bands stay as they are. A row per band reaches the driver.
     """
-    stats = thresholds(pixels, bands, how, mask)
-    if mask is not None:
-        stats = stats.drop("mn", "mx").join(extremes(long_bands(pixels, bands)), "band")
-    stats = kept(stats, "thresholds")  # a row per band
-    row = stats.agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("lo", "hi", "mn", "mx")))).alias("stats"))  # one row
-    out = pixels.crossJoin(F.broadcast(row))
+    stats = {r["band"]: r for r in thresholds(pixels, bands, how, mask).collect()}
+    ends = {b: (r["mn"], r["mx"]) for b, r in stats.items()} if mask is None else _ends(pixels, bands)
+    scaled = {}
     for b in bands:
-        s = F.col("stats")[b]
-        inside = lambda v, s=s: clip(v, s["lo"], s["hi"])
-        out = out.withColumn(prefix + b, min_max(inside(no_nan(F.col(b))), inside(s["mn"]), inside(s["mx"])))
-    return out.drop("stats")
+        x = no_nan(F.col(b))
+        if b in stats:
+            inside = lambda v, lo=stats[b]["lo"], hi=stats[b]["hi"]: clip(v, F.lit(lo), F.lit(hi))
+            x = min_max(inside(x), inside(F.lit(ends[b][0])), inside(F.lit(ends[b][1])))
+        scaled[prefix + b] = x
+    return pixels.withColumns(scaled)

@@ -14,14 +14,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.scalar import argmax, ratio, softmax
+from tessella.functions.scalar import softmax
 from tessella.operators import split
 from tessella.operators.earlystop import early_stop
 from tessella.operators.metrics import CLASSES, valid
-from tessella.operators.model import logits
 from tessella.params import Stopping, Training
 from tessella.sources.scratch import kept
 
@@ -38,12 +37,14 @@ class Softmax:
     def zero(cls, bands: list[str], classes: int = len(CLASSES)) -> Softmax:
         return cls(tuple(bands), tuple(tuple(0.0 for _ in bands) for _ in range(classes)), (0.0,) * classes)
 
-    def logits(self) -> Column:
-        return logits(list(self.bands), dict(enumerate(map(list, self.weights))), dict(enumerate(self.bias)))
+    def expression(self) -> str:
+        """The scores before softmax, as an array in SQL."""
+        terms = lambda row, b: " + ".join([f"{b!r}D", *(f"{w!r}D * `{x}`" for w, x in zip(row, self.bands, strict=True))])
+        return f"array({', '.join(terms(row, b) for row, b in zip(self.weights, self.bias, strict=True))})"
 
     def score(self, pixels: DataFrame, prefix: str = "p") -> DataFrame:
         """Adds the class probabilities as prefix0, prefix1, ..."""
-        out = pixels.withColumn("scores__", softmax(self.logits()))
+        out = pixels.withColumn("scores__", softmax(F.expr(self.expression())))
         return out.withColumns({f"{prefix}{k}": F.get("scores__", F.lit(k)) for k in range(len(self.bias))}).drop("scores__")
 
     def moved(self, gradient: dict[str, float], rate: float) -> Softmax:
@@ -54,33 +55,28 @@ class Softmax:
 
 def window_sums(rows: DataFrame, model: Softmax, training: Training, gradient: bool = True) -> DataFrame:
     """Per window (wid): the sums of weights, weighted losses, hits per class and, if asked, of the weighted gradient."""
-    weight = F.element_at(F.create_map(*[F.lit(x) for k, w in training.class_weights.items() for x in (k, w)]), F.col("y").cast("int"))
-    z, y = F.col("z__"), F.col("y").cast("int")
-    rows = valid(rows).withColumns({"z__": model.logits(), "w__": weight})
-    peak = F.array_max(z)
-    log_sum = F.log(F.aggregate(z, F.lit(0.0), lambda a, v: a + F.exp(v - peak))) + peak
-    rows = rows.withColumns({"p__": softmax(z), "loss__": F.col("w__") * (log_sum - F.get(z, y))})
-    sums = [F.sum("w__").alias("w"), F.sum("loss__").alias("loss")]
-    pred = argmax(z)
-    for k in range(len(model.bias)):
-        sums += [F.count_if((pred == k) & (y == k)).alias(f"tp{k}"), F.count_if((pred == k) & (y != k)).alias(f"fp{k}"), F.count_if((pred != k) & (y == k)).alias(f"fn{k}")]
+    weight = " ".join(f"WHEN {k} THEN {float(w)!r}D" for k, w in training.class_weights.items())
+    classes = range(len(model.bias))
+    rows = valid(rows).selectExpr("wid", "int(y) AS y__", f"CASE int(y) {weight} END AS w__", f"{model.expression()} AS z__", *[f"`{b}` AS x{j}__" for j, b in enumerate(model.bands)])
+    rows = rows.selectExpr("*", "array_max(z__) AS peak__", "int(array_position(z__, array_max(z__)) - 1) AS pred__")
+    rows = rows.selectExpr("*", f"ln({' + '.join(f'exp(z__[{k}] - peak__)' for k in classes)}) + peak__ AS log_sum__")
+    wrong = [f"w__ * (exp(z__[{k}] - log_sum__) - if(y__ = {k}, 1D, 0D)) AS e{k}__" for k in classes] if gradient else []
+    rows = rows.selectExpr("*", "w__ * (log_sum__ - get(z__, y__)) AS loss__", *wrong)
+    sums = ["sum(w__) AS w", "sum(loss__) AS loss"]
+    for k in classes:
+        sums += [f"count_if(pred__ = {k} AND y__ = {k}) AS tp{k}", f"count_if(pred__ = {k} AND y__ <> {k}) AS fp{k}", f"count_if(pred__ <> {k} AND y__ = {k}) AS fn{k}"]
         if gradient:
-            wrong = F.col("w__") * (F.get("p__", F.lit(k)) - F.when(y == k, 1.0).otherwise(0.0))
-            sums += [F.sum(wrong).alias(f"g{k}"), *[F.sum(wrong * F.col(b)).alias(f"g{k}_{j}") for j, b in enumerate(model.bands)]]
-    return rows.groupBy("wid").agg(*sums)
+            sums += [f"sum(e{k}__) AS g{k}", *[f"sum(e{k}__ * x{j}__) AS g{k}_{j}" for j in range(len(model.bands))]]
+    return rows.groupBy("wid").agg(*map(F.expr, sums))
 
 
 def _batch_means(sums: DataFrame, batches: DataFrame, classes: int) -> DataFrame:
     """One row: means over batches of the weighted means, and of the macro F1; and the number of batches."""
     names = [c for c in sums.columns if c not in ("wid", "w")]
-    per = sums.join(batches, "wid").groupBy("batch").agg(F.sum("w").alias("w"), *[F.sum(c).alias(c) for c in names])
-    f1 = []
-    for k in range(classes):
-        tp, fp, fn = (F.col(f"{c}{k}") for c in ("tp", "fp", "fn"))
-        f1.append(ratio(2 * tp, 2 * tp + fp + fn))
-    means = [F.avg(F.try_divide(F.col(c), F.col("w"))).alias(c) for c in names if c == "loss" or c.startswith("g")]
-    macro = sum(f1[1:], f1[0]) / len(f1)
-    return per.agg(*means, F.avg(macro).alias("f1"), F.count(F.lit(1)).alias("n"))
+    per = sums.join(batches, "wid").groupBy("batch").agg(*[F.expr(f"sum({c}) AS {c}") for c in ("w", *names)])
+    means = [f"avg(try_divide({c}, w)) AS {c}" for c in names if c == "loss" or c.startswith("g")]
+    f1 = " + ".join(f"if(2 * tp{k} + fp{k} + fn{k} > 0, 2 * tp{k} / (2 * tp{k} + fp{k} + fn{k}), 0D)" for k in range(classes))
+    return per.agg(*map(F.expr, [*means, f"avg(({f1}) / {classes}) AS f1", "count(1) AS n"]))
 
 
 @dataclass(frozen=True)

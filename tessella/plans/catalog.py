@@ -181,8 +181,7 @@ def prepared_scan(spark, sf):
 def prepared_version(spark, sf):
     """All prepared outputs of a run as one version, read back through its manifest; windows are stored by split."""
     px, windows, g = _split(spark, sf)
-    windows = kept(windows, "windows")
-    label = px.select("idx", "y")
+    windows, label = kept(windows, "windows"), kept(px.select("idx", "y"), "label")
     tables = {
         "optical": fx.optical(spark, sf),
         "lidar": fx.aligned(spark, sf).select("idx", "l0", "l1"),
