@@ -87,6 +87,15 @@ def one_apart(a: bytes, b: bytes) -> bool:
 def _expanded(stored: Words, asked: Words, s: np.ndarray, a: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All (stored word, asked word) of pairs of vectors, at most about PAIRS at a time."""
     ns, na = np.diff(stored.starts)[s], np.diff(asked.starts)[a]
+    large = ns * na > PAIRS  # many words of one vector each: some stored ones at a time
+    for k in np.flatnonzero(large).tolist():
+        own = stored.members[stored.starts[s[k]] : stored.starts[s[k] + 1]]
+        others = asked.members[asked.starts[a[k]] : asked.starts[a[k] + 1]]
+        rows = max(1, PAIRS // len(others))
+        for lo in range(0, len(own), rows):
+            some = own[lo : lo + rows]
+            yield np.repeat(some, len(others)), np.tile(others, len(some))
+    s, a, ns, na = s[~large], a[~large], ns[~large], na[~large]
     ends = np.cumsum(ns * na)
     at = 0
     while at < len(s):

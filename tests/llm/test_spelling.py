@@ -1,10 +1,13 @@
 """Operator 12: the trie against all pairs, and the operator against plain Python."""
 
+import itertools
 import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
+
 from common import no_docs, odd_docs, odd_rows
 from tessella.llm import count_trie, spelling
 
@@ -37,6 +40,18 @@ def test_trie_finds_all_pairs(monkeypatch):
         assert len(got) == len(set(got)) and set(got) == expected and expected
 
 
+def test_many_words_of_one_vector_come_in_slices(monkeypatch):
+    monkeypatch.setattr(count_trie, "PAIRS", 50)
+    words = [("ab" * k + "ba" * (9 - k) + c).encode() for k in range(10) for c in ("x", "")]
+    words = sorted(set(words)) + sorted({b"".join(p) for p in itertools.permutations([b"ae", b"it", b"on", b"rs"])})
+    stored = count_trie.Words(words)
+    sizes = [len(i) for i, _ in count_trie._expanded(stored, stored, *(np.concatenate(x) for x in zip(*count_trie.near_vectors(stored.vectors, stored.vectors))))]
+    assert max(sizes) <= 50
+    expected = {(i, j) for i, a in enumerate(words) for j, b in enumerate(words) if count_trie.one_apart(a, b)}
+    got = list(count_trie.near_pairs(stored, stored))
+    assert len(got) == len(set(got)) and set(got) == expected and len(expected) == 20
+
+
 def plain(rows, slips, shortest, least):
     counts = Counter()
     for name, text in rows:
