@@ -1,6 +1,7 @@
 """Raster operators against small dense arrays, and their edge cases."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -9,8 +10,11 @@ from pyspark.sql import functions as F
 from tessella.functions import scalar
 from tessella.operators import augment, clean, earlystop, focal, grid, metrics, model, mosaic, split, vector
 from tessella.params import Clipping, Experiment, Grid, Split, Stopping, Windows
+from tessella.plans import catalog
 from tessella.sources import raster
 
+TABLES = "/root/testdata/sf0.01"
+
 
 def pixels(spark, values, name="b"):
     h, w = values.shape
@@ -71,6 +75,39 @@ def test_window_pixels_match_windows(spark):
     assert px.count() == 6 * 9 and px.agg(F.max("idx")).first()[0] == 34
 
 
+def sent_rows(df):
+    """Rows of each table that the finished plan sends to all tasks."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan().finalPhysicalPlan(), []
+
+    def walk(node):
+        if node.nodeName() == "BroadcastExchange":
+            found.append(node.metrics().apply("numOutputRows").value())
+        if "QueryStage" in node.nodeName():
+            return walk(node.plan())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(plan)
+    return found
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables here")
+def test_pixels_of_windows_are_not_sent_whole(spark):
+    """Windows meet their pixels by number: what all tasks get has a row per window, not one per window and pixel."""
+    w, g = Windows(16, 8), Grid(120, 80)
+    px = pixels(spark, np.arange(9600.0).reshape(120, 80)).repartition(3)
+    chosen = grid.window_table(spark, g, w).filter("wid % 3 = 0")
+    old = grid.window_pixels(chosen, g, w).join(px.select("idx", "b"), "idx")
+    new = grid.pixels_in(chosen.select("wid", "wr", "wc"), px, g, w)
+    rows = lambda df: sorted(map(tuple, df.select("wid", "r", "c", "idx", "b").collect()))
+    assert rows(new) == rows(old)
+    at_scale = catalog._pixel_windows(spark, TABLES)
+    n = at_scale.select("wid").distinct().count()
+    assert at_scale.count() == n * 256 and all(sent <= max(n, 2_000) for sent in sent_rows(at_scale))
+
+
 def test_clip_edge_cases(spark):
     flat = pixels(spark, np.full((4, 4), 0.123))
     t = clean.thresholds(flat, ["b"]).first()
