@@ -193,7 +193,9 @@ def _features(rows: DataFrame, *others: str) -> DataFrame:
 
 def annotate(docs: DataFrame) -> DataFrame:
     """doc_id, the base features, base_failed, kept and the rejecting rule of every row; rows that the base rules reject reach no other rule."""
-    order = [e.rule for e in estimates(_features(sampled(docs)).filter(~F.col("base_failed")), RULES, FEATURES)]
+    # written with its counts before the filter, which Spark would move below them and so split the text again for each word
+    sample = written(_features(sampled(docs)), "rule-sample")
+    order = [e.rule for e in estimates(sample.filter(~F.col("base_failed")), RULES, FEATURES)]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("w", words_of(F.col("t")))
     rows = _features(rows, "doc_id")
     found = verdict(Counts(F.col("t"), F.col("w"), **{n: F.col(n) for n in FEATURES}), order)

@@ -77,6 +77,15 @@ def test_rows_that_fail_the_base_rules_reach_no_other(spark):
     assert all((r.rejected_by == "base") == r.base_failed and r.kept == (r.rejected_by is None) for r in rows)
 
 
+def test_counts_of_the_sample_are_made_once(spark, monkeypatch):
+    """The filter on the base rules reads written counts; moved below them it would split the text again for each of its words."""
+    seen = []
+    monkeypatch.setattr(quality_cascade, "estimates", lambda sample, *others: seen.append(sample) or [])
+    quality_cascade.annotate(odd_docs(spark).limit(5))
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "base_failed" in plan and "split(" not in plan
+
+
 # -- 2
 
 
