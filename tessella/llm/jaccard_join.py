@@ -4,10 +4,11 @@ Rows with equal shingle sets form one group and are compared once. Each group's
 MinHash values make one label per tree; sorted labels are the tree's prefix trie.
 Prefixes start at full depth and are shortened tree by tree, the deepest first: while
 the expected recall of a pair just at the threshold, 1 - (1 - s^d1)(1 - s^d2)...,
-is below the target, and then while the recall measured on a query set is. The query
-set is QUERIES distinct texts of at most QUERY_BYTES bytes, of least hash; every row
-is compared with it exactly while it is signed, so its links don't depend on prefixes.
-Groups that share a prefix in a tree become candidates: each bucket links its
+is below the target. So the depths follow from the threshold alone. After the
+verification they are shortened further, and the work is repeated, while the recall
+shown by the links of the whole table is below the target: a link that no tree shows
+counts as missed, and so do as many as the numbers of links that one tree and two
+trees show let expect beyond those found (Chao's estimate). Groups that share a prefix in a tree become candidates: each bucket links its
 members to its least one, and the components of these links are the clusters.
 
 A cluster is verified exactly, by shingle intersection, in blocks of two chunks
@@ -42,7 +43,7 @@ from tessella.llm.source_mix import row_key
 THRESHOLD = (4, 5)
 TREES, MAX_DEPTH = 16, 5
 RECALL = 0.9995
-#: Texts that recall is measured on, and the bytes of one: a bound of what each task holds of them.
+#: Texts that recall can be measured on by hand, and the bytes of one: a bound of what each task holds of them.
 QUERIES, QUERY_BYTES = 256, 16 << 10
 CHUNK = 256
 
@@ -62,7 +63,7 @@ def depths_for(recall: float = RECALL, trees: int = TREES, deepest: int = MAX_DE
 
 
 def query_texts(docs: DataFrame, most: int = QUERIES, size: int = QUERY_BYTES) -> list[bytes]:
-    """Distinct texts of at most ``size`` bytes, of least hash; at most ``most``."""
+    """Distinct texts of at most ``size`` bytes, of least hash; at most ``most``. To measure recall against exact comparisons (``signatures``); the join takes nothing from them."""
     rows = docs.filter(F.octet_length("text").between(1, size)).select(F.xxhash64("text", F.lit(7)).alias("h"), F.col("text").cast("binary").alias("text"))
     least = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(most).collect()]
     if not least:
@@ -110,7 +111,7 @@ def signatures(docs: DataFrame, queries: list[bytes], trees: int = TREES) -> Dat
 
 
 def shown_recall(met: DataFrame, depths: list[int]) -> float:
-    """Share of the query set's links (column ``common``: values shared per tree) whose two ends share a prefix; 1 without links."""
+    """Share of the links (column ``common``: values shared per tree) whose two ends share a prefix; 1 without links."""
     hit = F.exists(F.zip_with("common", F.array(*[F.lit(d) for d in depths]), lambda n, d: n >= d), lambda x: x)
     share = met.agg(F.avg(hit.cast("double"))).first()[0]
     return 1.0 if share is None else share
@@ -212,17 +213,16 @@ def verified(docs: DataFrame, groups: DataFrame, clusters: DataFrame, chunk: int
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per document (doc_id, row_key, set_key); per set key (set_key, class_key, class_id, n_links, first)."""
-    signed = written(signatures(docs, query_texts(docs)), "signatures")
+    signed = written(signatures(docs, []), "signatures")
     # 'first' orders the documents of a group: least identifier, null last
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
-    alike = [F.first(c).alias(c) for c in ("labels", "met")]
-    groups = signed.filter("n_shingles > 0").groupBy("set_key").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("first"), *alike)
+    groups = signed.filter("n_shingles > 0").groupBy("set_key").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("first"), F.first("labels").alias("labels"))
     groups = written(groups, "groups").withColumn("row_key", F.col("first.row_key"))
-    met = written(groups.select(F.explode("met").alias("common")), "query-links")
     depths = depths_for()
-    while max(depths) > 1 and shown_recall(met, depths) < RECALL:
-        depths = shortened(depths)
     links = verified(docs, groups, written(candidate_clusters(groups, depths), "clusters"))
+    while max(depths) > 1 and shown_recall(with_unseen(linked_values(links, groups), depths), depths) < RECALL:
+        depths = shortened(depths)
+        links = verified(docs, groups, written(candidate_clusters(groups, depths), "clusters"))
     found = components(links.filter("b is not null").select("a", "b")).select(F.col("node").alias("set_key"), F.col("root").alias("class_key"))
     counts = links.filter("b is null").groupBy(F.col("a").alias("set_key")).agg(F.sum("n").alias("linked"))
     linked = groups.join(found, "set_key").join(counts, "set_key").select("set_key", "class_key", "linked", "first")
@@ -239,6 +239,24 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return signed.select("doc_id", "row_key", "set_key"), written(per_set, "sets")
 
 
+def linked_values(links: DataFrame, groups: DataFrame) -> DataFrame:
+    """A row per link of the forests: ``common``, the values that its ends share in each tree."""
+    labels = groups.select("set_key", "labels")
+    ends = links.filter("b is not null").select("a", "b")
+    ends = ends.join(labels.select(F.col("set_key").alias("a"), F.col("labels").alias("at_a")), "a")
+    ends = ends.join(labels.select(F.col("set_key").alias("b"), F.col("labels").alias("at_b")), "b")
+    shared = lambda x, y: sum(((F.shiftright(x.bitwiseXOR(y), sh.VALUE_BITS * k) == 0).cast("bigint") for k in range(MAX_DEPTH)), F.lit(0).cast("bigint"))
+    return written(ends.select(F.zip_with("at_a", "at_b", shared).alias("common")), "linked-values")
+
+
+def with_unseen(common: DataFrame, depths: list[int]) -> DataFrame:
+    """Adds a row without shared values for each link that is expected beyond those found: f1 (f1 - 1) / 2 (f2 + 1), where one tree shows f1 links and two trees show f2."""
+    shows = F.size(F.filter(F.zip_with("common", F.array(*[F.lit(d) for d in depths]), lambda n, d: n >= d), lambda x: x))
+    once, twice = common.agg(F.count_if(shows == 1), F.count_if(shows == 2)).first()
+    unseen = common.sparkSession.range(once * (once - 1) // (2 * (twice + 1)))
+    return common.unionByName(unseen.select(F.array(*[F.lit(0).cast("bigint") for _ in depths]).alias("common")))
+
+
 def link_documents(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (least identifier of its class), n_links (documents linked to it)."""
     signed, per_set = classes(docs)

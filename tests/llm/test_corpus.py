@@ -287,6 +287,21 @@ def test_query_set_finds_its_links_without_prefixes(spark):
     assert jaccard_join.shown_recall(met.limit(0), [5] * jaccard_join.TREES) == 1.0
 
 
+def test_recall_is_judged_by_all_links(spark, monkeypatch):
+    """Links of texts too long for a query set count as well, and so do links that the found ones let expect."""
+    base = [f"long{i}" for i in range(2_500)]  # over 16 kB
+    rows = [(10 * k + j, " ".join([f"set{k}", *[f"{w}of{k}" for w in base], f"end{j}"])) for k in range(4) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    judged, real = [], jaccard_join.shown_recall
+    monkeypatch.setattr(jaccard_join, "shown_recall", lambda met, depths: judged.append(met.count()) or real(met, depths))
+    assert by_row(jaccard_join.link_documents(docs).collect(), "doc_id", "n_links") == collections.Counter((i, 1) for i, _ in rows)
+    assert judged == [4]
+    common = spark.createDataFrame([([4, 1],), ([1, 4],), ([4, 0],), ([4, 4],)], "common array<bigint>")
+    assert jaccard_join.with_unseen(common, [4, 4]).count() == 4 + 3 * 2 // (2 * 2)
+    assert real(jaccard_join.with_unseen(common, [4, 4]), [4, 4]) == pytest.approx(4 / 5)
+    assert jaccard_join.with_unseen(common.limit(0), [4, 4]).count() == 0
+
+
 def test_depths_reach_recall():
     assert jaccard_join.depths_for(0.9995, 16, 5, 0.8) == [4] * 10 + [5] * 6
     assert jaccard_join.depths_for(0.9, 1, 5, 0.8) == [1]
