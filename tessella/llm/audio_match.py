@@ -4,10 +4,11 @@ Recordings are rows of (id, audio): PCM samples, 16 bits, little-endian, one
 channel. Each becomes packed integers (see ``chroma``). Recordings with equal
 fingerprints are a class, and classes are aligned: they are dealt to blocks of
 about ``block_rows`` by a hash, every asked class visits every block, and a block
-returns one row per matched class. At each offset with MIN_OVERLAP positions the
-bit errors are summed, so that no match within MAX_ERROR is missed and none is
-dropped; copies never expand to pairs. The work is that of all queries against all
-classes.
+returns one row per asked class with the list of its matches there, its own class
+among them. At each offset with MIN_OVERLAP positions the bit errors are summed, so
+that no match within MAX_ERROR is missed and none is dropped; copies never expand to
+pairs. The work is that of all queries against all classes, and what the lists hold
+grows with both.
 
 Defined results: null or too short audio has an empty fingerprint, no class, and
 matches nothing; a recording of fewer than MIN_OVERLAP positions is compared whole; rows equal in id and fingerprint are one recording,
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,31 +81,40 @@ def fingerprints(recordings: DataFrame, rate: int = RATE) -> DataFrame:
     return recordings.select("id", "audio").mapInArrow(_print(rate), "id bigint, print binary")
 
 
-_FOUND = "asked string, class string, offset bigint, error double, overlap bigint"
+_FOUND = "asked string, found array<struct<error: double, less: bigint, least: bigint, most: bigint, class: string, rows: bigint, offset: bigint, overlap: bigint>>"
+_PARTS = ["error", "less", "least", "most", "class", "rows", "offset", "overlap"]
 _MATCHES = "array<struct<class: string, id: bigint, recordings: bigint, offset: bigint, error: double, overlap: bigint>>"
 
 
 def _visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by block, its classes before the asked ones."""
-    current, names, prints, stack = None, [], [], None
-    types = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64()]
-    columns = [f.split()[0] for f in _FOUND.split(", ")]
+    """A row per asked class and block with all it matches there; rows come by block, its classes before the asked ones."""
+    current, held, stack = None, [], None
     for b in batches:
-        rows = []
-        for block, asks, name, data in zip(*(b.column(k).to_pylist() for k in range(4))):
-            if block != current:
-                current, names, prints, stack = block, [], [], None
-            if not asks:
-                names.append(name)
-                prints.append(np.frombuffer(data, "<u4"))
+        blocks = b.column("block").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+        for lo, hi in zip(edges, edges[1:]):
+            if lo == hi:
                 continue
+            if blocks[lo] != current:
+                current, held, stack = blocks[lo], [], None
+            rows = b.slice(lo, hi - lo)
             if stack is None:
-                stack = chroma.Stack(prints)
-            for who, offset, error, overlap in stack.aligned(np.frombuffer(data, "<u4"), MIN_OVERLAP, MAX_ERROR):
-                if names[who] != name:
-                    rows.append((name, names[who], offset, error, overlap))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=columns)
+                held.append(rows.filter(pc.invert(rows.column("asks"))))
+            rows = rows.filter(rows.column("asks"))
+            if not rows.num_rows:
+                continue
+            if stack is None:
+                known = pa.Table.from_batches(held).combine_chunks()
+                stack, known = chroma.Stack(_integers(known.column("print"))), known.select(["least", "most", "class", "rows"])
+            asked, who, offset, error, overlap = stack.matches(_integers(rows.column("print")), MIN_OVERLAP, MAX_ERROR)
+            of = [c.combine_chunks() for c in known.take(pa.array(who)).columns]
+            found = pa.StructArray.from_arrays([pa.array(error), pa.array(-overlap), *of, pa.array(offset), pa.array(overlap)], names=_PARTS)
+            ends = np.searchsorted(asked, np.arange(rows.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([rows.column("class"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)], names=["asked", "found"])
+
+
+def _integers(prints: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(p, "<u4") for p in prints.to_pylist()]
 
 
 def _class(of: str = "print") -> Column:
@@ -130,14 +141,12 @@ def align(prints: DataFrame, queries: DataFrame, block_rows: int = BLOCK_ROWS) -
     rows = rows.join(own, ["id", "print"], "left").select("id", _class().alias("asked"), "print", F.coalesce("own", F.lit(0)).alias("own"))
     rows = written(rows, "queries")
     asked = rows.filter("asked is not null").select("asked", "print").distinct()
+    held = held.withColumn("block", F.pmod(F.xxhash64("class"), F.lit(n_blocks)).cast("int")).withColumn("asks", F.lit(False))
     visits = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(True).alias("asks"), F.col("asked").alias("class"), "print")
-    kept = held.select(F.pmod(F.xxhash64("class"), F.lit(n_blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "class", "print")
     n = max(n_blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = kept.unionByName(visits).repartition(n, "block").sortWithinPartitions("block", "asks").mapInArrow(_visit, _FOUND)
-    same = asked.select("asked", F.col("asked").alias("class"), F.lit(0).cast("bigint").alias("offset"), F.lit(0.0).alias("error"), (F.length("print") / 4).cast("bigint").alias("overlap"))
-    found = found.unionByName(same).join(held.select("class", "least", "most", "rows"), "class")
-    item = F.struct(F.round("error", 9).alias("error"), (-F.col("overlap")).alias("less"), "least", "most", "class", "rows", "offset", "overlap")
-    lists = found.groupBy("asked").agg(F.array_sort(F.collect_list(item)).alias("found"))
+    visited = held.unionByName(visits, allowMissingColumns=True).repartition(n, "block").sortWithinPartitions("block", "asks").mapInArrow(_visit, _FOUND)
+    found = F.transform(F.flatten(F.collect_list("found")), lambda m: m.withField("error", F.round(m["error"], 9)))
+    lists = visited.groupBy("asked").agg(F.array_sort(found).alias("found"))
     rows = rows.join(lists, "asked", "left")
     others = lambda m: m["rows"] - F.when(m["class"] == F.col("asked"), F.col("own")).otherwise(0)
     member = lambda m: F.when(m["least"] != F.col("id"), m["least"]).when(m["most"] != F.col("id"), m["most"])

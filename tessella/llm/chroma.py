@@ -88,49 +88,120 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
 
 
 class Stack:
-    """The fingerprints of a block of recordings by length, two positions to a word, for sums of bit errors at every offset."""
+    """The fingerprints of a block of recordings, for sums of bit errors at every offset.
 
-    #: Positions held by one array, so that the words compared at an offset stay in the cache.
-    HELD = 1 << 17
+    Over bits as +1 and -1, the sum of products at an offset is the agreeing bits less the
+    differing ones. The sums at all offsets come from the spectra of both sides: products
+    by frequency, added up over the 32 bits, and turned back. Sums are whole numbers far
+    below the precision used, so rounding gives the counts exactly.
+    """
+
+    #: Positions of the recordings that are compared at once, sums held at once, and bytes of spectra kept from query to query.
+    HELD, SUMS, KEPT = 12_288, 5 << 18, 64 << 20
+    #: Longest transform that is turned back by a matrix, and longest in single precision.
+    SHORT, SINGLE = 256, 1024
 
     def __init__(self, prints: list[np.ndarray]):
         lengths = np.array([len(p) for p in prints], dtype=np.int64)
-        self.groups = []
-        for n in np.unique(lengths[lengths > 0]).tolist():
-            at = np.flatnonzero(lengths == n)
-            for some in np.array_split(at, -(-len(at) * n // self.HELD)):
+        self.parts, self.kept = [], {}
+        for like in np.unique(-(-lengths[lengths > 0] // 16)).tolist():
+            at = np.flatnonzero(-(-lengths // 16) == like)
+            for some in np.array_split(at, -(-len(at) * 16 * like // self.HELD)):
                 if len(some):
-                    one = np.ascontiguousarray(np.stack([prints[i] for i in some]).T)
-                    self.groups.append((some, one, _paired(one)))
-
-    def aligned(self, query: np.ndarray, min_overlap: int, max_error: float) -> list[tuple[int, int, float, int]]:
-        """(place in the block, offset, bit error rate, positions) of each recording that aligns, by the best of all its offsets.
+                    self.parts.append((some, lengths[some], [prints[i] for i in some]))
+
+    def _spectra(self, part: int, n: int) -> np.ndarray:
+        """(frequency, real parts of 32 bits before imaginary ones, recording) of a part's recordings."""
+        if (part, n) not in self.kept:
+            both = np.concatenate(_spectra(self.parts[part][2], n), axis=2)
+            both = np.ascontiguousarray(both.transpose(0, 2, 1))
+            self.kept = {k: v for k, v in self.kept.items() if k[0] != part}
+            if sum(v.nbytes for v in self.kept.values()) + both.nbytes > self.KEPT:
+                return both
+            self.kept[part, n] = both
+        return self.kept[part, n]
+
+    def matches(self, queries: list[np.ndarray], min_overlap: int, max_error: float) -> list[np.ndarray]:
+        """(query, place in the block, offset, bit error rate, positions) columns of all that align, each pair by the best of its offsets.
 
         At least ``min_overlap`` positions are compared, or the whole of the shorter recording.
         """
-        m, best = len(query), {}
-        single = query.astype(np.uint32)[:, None]
-        double = _paired(single)
-        for places, one, two in self.groups:
-            n = len(one)
-            least = min(min_overlap, m, n)
-            for shift in range(least - m, n - least + 1):
-                lo, hi = max(0, -shift), min(m, n - shift)
-                size = hi - lo
-                if size < least or size <= 0:
-                    continue
-                small = np.uint16 if 32 * size < 1 << 16 else np.int64
-                wrong = np.bitwise_count(two[lo + shift : hi + shift - 1 : 2] ^ double[lo : hi - 1 : 2]).sum(0, dtype=small)
-                if size % 2:
-                    wrong += np.bitwise_count(one[hi + shift - 1] ^ single[hi - 1])
-                for k in np.flatnonzero(wrong <= max_error * 32 * size).tolist():
-                    found = (int(wrong[k]) / (32 * size), -size, shift)
-                    who = int(places[k])
-                    if who not in best or found < best[who]:
-                        best[who] = found
-        return [(who, shift, rate, -size) for who, (rate, size, shift) in sorted(best.items())]
-
-
-def _paired(rows: np.ndarray) -> np.ndarray:
-    """Each row together with the next, as 64-bit words."""
-    return rows[:-1].astype(np.uint64) | (rows[1:].astype(np.uint64) << np.uint64(32))
+        lengths = np.array([len(q) for q in queries], dtype=np.int64)
+        found, asked = [], {}
+        for part, (places, sizes, _) in enumerate(self.parts):
+            longest = int(sizes.max())
+            for m in np.unique(lengths[lengths > 0]).tolist():
+                at = np.flatnonzero(lengths == m)
+                least = np.minimum(min(min_overlap, m), sizes)
+                shifts = np.arange(int(least.min()) - m, longest - int(least.min()) + 1)
+                n = _transform_length(m + longest - int(least.min()))
+                overlap = np.minimum(m, sizes - shifts[:, None]) - np.maximum(0, -shifts)[:, None]
+                judged = (overlap >= least) & (overlap > 0)
+                theirs = self._spectra(part, n)[:, None]
+                bound = np.where(judged, 32 * overlap * (1 - 2 * max_error) - 0.5, np.inf).astype(theirs.dtype)
+                few = max(1, self.SUMS // (n * max(64, len(places))))
+                for k in range(0, len(at), few):
+                    if (m, n, k, few) not in asked:
+                        ours = _conjugate([queries[i] for i in at[k : k + few]], n)
+                        if sum(v.nbytes for v in asked.values()) + ours.nbytes <= self.KEPT:
+                            asked[m, n, k, few] = ours
+                    else:
+                        ours = asked[m, n, k, few]
+                    sums = _turned_back(np.matmul(ours, theirs), shifts, n)
+                    q, r, *best = _best(sums, bound, overlap, shifts, max_error)
+                    found.append((at[k + q], places[r], *best))
+        if not found:
+            return [np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.float64, np.int64)]
+        columns = [np.concatenate(c) for c in zip(*found)]
+        order = np.lexsort((columns[1], columns[0]))
+        return [c[order] for c in columns]
+
+    def aligned(self, query: np.ndarray, min_overlap: int, max_error: float) -> list[tuple[int, int, float, int]]:
+        """(place in the block, offset, bit error rate, positions) of each recording that aligns with one query."""
+        return list(zip(*(c.tolist() for c in self.matches([query], min_overlap, max_error)[1:])))
+
+
+def _transform_length(least: int) -> int:
+    """At least ``least``, of eight lengths an octave, so that recordings of like lengths share spectra."""
+    step = 1 << max(0, least.bit_length() - 4)
+    return -(-least // step) * step
+
+
+def _spectra(prints: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Real and imaginary parts, each (frequency, recording, bit), of the bits as +1 and -1, with zeros after a recording's end."""
+    signs = np.zeros((len(prints), n, 32), dtype=np.float32 if n <= Stack.SINGLE else np.float64)
+    for row, p in zip(signs, prints):
+        row[: len(p)] = np.unpackbits(p.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1) * 2.0 - 1
+    out = np.fft.rfft(signs, axis=1).transpose(1, 0, 2)
+    return out.real, out.imag
+
+
+def _conjugate(prints: list[np.ndarray], n: int) -> np.ndarray:
+    """(frequency, 2, query, 64): factors that give the real and the imaginary part of a query's conjugate times a recording."""
+    real, imag = _spectra(prints, n)
+    return np.stack((np.concatenate((real, imag), axis=2), np.concatenate((-imag, real), axis=2)), axis=1)
+
+
+def _turned_back(products: np.ndarray, shifts: np.ndarray, n: int) -> np.ndarray:
+    """(offset, query, recording): the sums at ``shifts`` of products (frequency, 2, query, recording)."""
+    f = np.arange(len(products))
+    if n > Stack.SHORT:
+        return np.fft.irfft(products[:, 0] + 1j * products[:, 1], n, axis=0)[shifts % n]
+    angle = 2 * np.pi * np.outer(shifts, f) / n
+    back = np.stack((np.cos(angle), -np.sin(angle)), axis=2) * np.where((f == 0) | (2 * f == n), 1, 2)[:, None] / n
+    sums = back.reshape(len(shifts), -1).astype(products.dtype) @ products.reshape(2 * len(products), -1)
+    return sums.reshape(len(shifts), *products.shape[2:])
+
+
+def _best(sums: np.ndarray, bound: np.ndarray, overlap: np.ndarray, shifts: np.ndarray, max_error: float) -> tuple[np.ndarray, ...]:
+    """(query, recording, offset, bit error rate, positions) of the pairs with an offset within the rate: least rate, most positions, least offset."""
+    hits = np.flatnonzero(sums >= bound[:, None])
+    s, q, r = np.unravel_index(hits, sums.shape)
+    size = overlap[s, r]
+    wrong = np.rint((32 * size - sums.ravel()[hits]) / 2).astype(np.int64)
+    rate = wrong / (32 * size)
+    order = np.lexsort((s, -size, rate, r, q))
+    order = order[(wrong <= max_error * 32 * size)[order]]
+    pair = (q * sums.shape[2] + r)[order]
+    order = order[np.diff(pair, prepend=-1) != 0]
+    return q[order], r[order], shifts[s[order]], rate[order], size[order]

@@ -1,6 +1,7 @@
 """Operator 9: alignment of cut and noisy recordings, and blocks against brute force."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessella.llm import audio_match, chroma
@@ -144,3 +145,35 @@ def test_long_silence_stays_bounded(spark):
     rows = [(i, pcm(np.zeros(256 * (400 + i % 5) + 1024))) for i in range(60)]
     out = [r for r in audio_match.search(spark.createDataFrame(rows, "id bigint, audio binary")).collect() if r.matches is not None]
     assert sorted(r.id for r in out) == [0, 20, 40] and all(r.n_matches == 59 and r.best_error == 0 for r in out)
+
+
+def test_many_queries_at_once_against_brute_force():
+    """Lengths on both sides of where transforms are turned back by a matrix, and where they are in double precision."""
+    rng = np.random.default_rng(12)
+    prints = [rng.integers(0, 1 << 32, n, dtype=np.uint32) for n in (7, 46, 46, 46, 170, 640)]
+    for p, share in zip(list(prints), (0.1, 0.2, 0.24, 0.25, 0.2, 0.24)):
+        flips = rng.random((len(p), 32)) < share
+        prints.append((p ^ (flips.astype(np.uint32) << np.arange(32, dtype=np.uint32)).sum(1, dtype=np.uint32))[len(p) // 5 :])
+    prints += [np.zeros(46, dtype=np.uint32), np.zeros(170, dtype=np.uint32), np.empty(0, dtype=np.uint32)]
+    got = list(zip(*(c.tolist() for c in chroma.Stack(prints).matches(prints, 20, 0.25))))
+    expected = []
+    for q, a in enumerate(prints):
+        for who, b in enumerate(prints):
+            least = max(1, min(20, len(a), len(b)))
+            tries = [(wrong / (32 * n), -n, shift) for shift in range(-len(a), len(b)) for wrong, n in [chroma.bit_errors(a, b, shift)] if n >= least and wrong <= 0.25 * 32 * n]
+            if tries:
+                rate, n, shift = min(tries)
+                expected.append((q, who, shift, rate, -n))
+    assert got == expected and len({(q, w) for q, w, *_ in got if q != w}) >= 10
+
+
+def test_matches_of_a_query_stay_together():
+    """The visit gives a row per query and block, however many recordings match there, also in a block without recordings."""
+    whole = np.random.default_rng(3).integers(0, 1 << 32, 60, dtype=np.uint32).astype("<u4")
+    held = [(0, False, f"c{i}", whole[i:].tobytes(), i, i, 1) for i in range(30)]
+    asks = [(block, True, f"c{i}", whole[i:].tobytes(), None, None, None) for block in (0, 1) for i in (0, 20)]
+    schema = pa.schema([("block", pa.int32()), ("asks", pa.bool_()), ("class", pa.string()), ("print", pa.binary()), ("least", pa.int64()), ("most", pa.int64()), ("rows", pa.int64())])
+    batches = pa.Table.from_pylist([dict(zip(schema.names, r)) for r in held + asks], schema).to_batches(max_chunksize=7)
+    rows = [r for b in audio_match._visit(iter(batches)) for r in b.to_pylist()]
+    assert [(r["asked"], len(r["found"])) for r in rows] == [("c0", 30), ("c20", 30), ("c0", 0), ("c20", 0)]
+    assert [(m["class"], m["least"], m["offset"], m["error"], m["overlap"]) for m in rows[1]["found"]][:21:20] == [("c0", 0, 20, 0.0, 40), ("c20", 20, 0, 0.0, 40)]
